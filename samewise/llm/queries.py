@@ -5,9 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from . import packing, piece_table, quality_rules, sharding
+from . import packing, piece_table, quality_rules, sharding, simhash, vector_forest
 from .common import table
 
 
@@ -27,6 +26,15 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *quality_rules.COUNTS[:5], "base_failed", "kept", "failed")
 
 
+def op5_vector_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_forest.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", simhash.as_hex("fp").alias("fingerprint"), "component_id")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
@@ -35,5 +43,5 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(table(spark, sf_dir, "documents"), [1.0] * 16)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_quality_rules, op7_packing, op8_sharding)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_quality_rules, op5_vector_forest, op6_simhash, op7_packing, op8_sharding)}
 ORACLE: dict[str, str] = {}
