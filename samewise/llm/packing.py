@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import checkpointed, pieces
 
 #: Bound of the memo of one Python worker, in entries; a full memo is emptied.
-MOST_WORDS, LONGEST_KEPT = 400_000, 64
+MOST_WORDS = 600_000
 
 
 def fullest(stock: dict[int, int], capacity: int) -> dict[int, int]:
@@ -76,9 +76,14 @@ class WordIds:
     """Ids of whole texts by a tokenizers file; words between white space are encoded once while in the memo.
 
     White space is what the tokenizer's own pre-tokenizer drops, so no token reaches over it, and a
-    text's ids are those of its words. Where a file does not split so, whole texts are encoded.
+    text's ids are those of its words. It also splits letters from the marks after them, so new words
+    are looked up as letters and marks, and letters not seen yet are encoded together: each run of
+    letters ends with the one token that has the end-of-word suffix. Where a file does not split
+    so, whole texts are encoded.
     """
 
+    MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
+
     def __init__(self, path: str) -> None:
         import json
 
@@ -87,21 +92,64 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         conf = json.loads(self.tokenizer.to_str())
         steps = (conf["pre_tokenizer"] or {}).get("pretokenizers", [{}])
-        self.by_word = steps[0].get("type") == "Split" and steps[0].get("behavior") == "Removed" and steps[0].get("invert") and "\\s" in steps[0]["pattern"].get("Regex", "") and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or " " in t["content"] for t in conf["added_tokens"])
+        pattern = steps[0].get("pattern", {}).get("Regex", "") if steps[0].get("behavior") == "Removed" and steps[0].get("invert") else ""
+        self.by_word = "[^\\s" in pattern and "\\p{L}" in pattern and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or " " in t["content"] for t in conf["added_tokens"])
+        suffix = conf["model"].get("end_of_word_suffix")
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if suffix and t.endswith(suffix)]] = True
         self.memo: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+
+    def ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
-    def word(self, word: str) -> bytes:
-        known = self.memo.get(word)
+    def part(self, text: str) -> bytes:
+        known = self.parts.get(text)
         if known is None:
-            known = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-            if len(word) <= LONGEST_KEPT:
-                if len(self.memo) >= MOST_WORDS:
-                    self.memo.clear()
-                self.memo[word] = known
+            known = self.parts[text] = self.ids(text).tobytes()
         return known
 
-    def __call__(self, text: str) -> bytes:
-        return b"".join(map(self.word, text.split(" ") if "\n" not in text else text.replace("\n", " ").split(" "))) if self.by_word else self.word(text)
+    def learn(self, words: set[str]) -> None:
+        """Puts the words into the memo."""
+        if len(self.memo) + len(words) > MOST_WORDS:
+            self.memo.clear()
+            words = set(words)
+        if len(self.parts) > MOST_WORDS:
+            self.parts.clear()
+        split = {}
+        for w in words:
+            letters = w.rstrip(self.MARKS)
+            if letters.isalpha() and letters.lower().isalpha():
+                split[w] = letters.lower() if letters.isascii() else letters, w[len(letters) :]
+            else:
+                self.memo[w] = self.ids(w).tobytes()
+        new = list({letters for letters, _ in split.values()}.difference(self.parts))
+        for a in range(0, len(new), 2000):
+            some = new[a : a + 2000]
+            ids = self.ids(" ".join(some))
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(some) and ends[-1] == len(ids):
+                raw, at = ids.tobytes(), 0
+                for w, end in zip(some, (4 * ends).tolist()):
+                    self.parts[w] = raw[at:end]
+                    at = end
+        for w, (letters, marks) in split.items():
+            self.memo[w] = self.part(letters) + (self.part(marks) if marks else b"")
+
+    def batch(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit numbers."""
+        if not self.by_word:
+            return [self.ids(t or "").tobytes() for t in texts]
+        out, words = [], [(t or "").replace("\n", " ").split(" ") for t in texts]
+        for a in range(0, len(words), 256):
+            some = words[a : a + 256]
+            new = set().union(*some).difference(self.memo)
+            if len(self.memo) + len(new) > MOST_WORDS:
+                new = set().union(*some)
+            self.learn(new)
+            out += [b"".join(map(self.memo.__getitem__, w)) for w in some]
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -116,8 +164,8 @@ def cut(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col: str
         encode, end = word_ids(tokenizer), np.array([end_id], "<u4").tobytes()
         for batch in pieces(batches, "text"):
             take, out = [], []
-            for row, text in enumerate(batch.column("text").to_pylist()):
-                ids = encode(text or "") + end
+            for row, ids in enumerate(encode.batch(batch.column("text").to_pylist())):
+                ids += end
                 n = len(ids) // 4
                 for a in range(0, n, capacity):
                     take.append(row)

@@ -134,8 +134,11 @@ def test_op7_fullest_is_the_best_sum():
 
 def test_op7_special_strings_and_spaces():
     ids = packing.WordIds(tokenizer("word_bpe_49k.json"))
-    for t in ["it's  we'll\tA<|endoftext|>b c", "É́ é ΑΣ ß x", "x" * 300, " \n\n ", "don't 12345 ###"]:
-        assert list(memoryview(ids(t)).cast("I")) == ids.tokenizer.encode(t, add_special_tokens=False).ids
+    some = ["it's  we'll\tA<|endoftext|>b c", "É́ é ΑΣ ß x", "x" * 300, " \n\n ", "don't 12345 ###", "Word. word, WORD! İstanbul Ⅷ x² 한국어. e\u0301t\u00e9; naïve... ﬁ. <|startoftext|>. a<|endoftext|> _x_ a_b", "", None]
+    r = random.Random(6)
+    some += ["".join(r.choice("abEÉß'İ.,| \n\t1²<>한") for _ in range(200)) for _ in range(300)]
+    for t, got in zip(some, ids.batch(some)):
+        assert list(memoryview(got).cast("I")) == ids.tokenizer.encode(t or "", add_special_tokens=False).ids
 
 
 def test_op8_law(spark, docs, sf_dir):
