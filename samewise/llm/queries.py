@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, piece_table, quality_rules, sharding, simhash, suffix_dedup, vector_forest
+from . import licences, packing, piece_table, quality_model, quality_rules, secrets, sharding, simhash, suffix_dedup, vector_forest
 from .common import table
 
 
@@ -27,6 +27,17 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *quality_rules.COUNTS[:5], "base_failed", "kept", "failed")
 
 
+def op3_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality_model.train(docs, table(spark, sf_dir, "labels"))
+    out = quality_model.scored(docs, model)
+    return out.select("doc_id", (quality_model.third() == 1).alias("held_out"), "score", "predicted")
+
+
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(secrets.scanned(table(spark, sf_dir, "documents")))
+
+
 def op5_vector_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_forest.near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -44,10 +55,14 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(table(spark, sf_dir, "documents"), [1.0] * 16)
 
 
+def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.summary(licences.licences(table(spark, sf_dir, "documents")))
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_dedup.deduplicated(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_quality_rules, op5_vector_forest, op6_simhash, op7_packing, op8_sharding, op10_suffix_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_quality_rules, op3_quality_model, op4_secrets, op5_vector_forest, op6_simhash, op7_packing, op8_sharding, op9_licences, op10_suffix_dedup)}
 ORACLE: dict[str, str] = {}
