@@ -148,9 +148,12 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     fitted = docs.sparkSession.sparkContext.broadcast(model)  # two vectors of 2^BITS numbers
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in (id_col, *keep))
 
+    source = text_col if text_col in keep else "_text"
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "_text"):
-            found = [fitted.value.score(indicators(t)) for t in batch.column("_text").to_pylist()]
+        for batch in pieces(batches, source):
+            found = [fitted.value.score(indicators(t)) for t in batch.column(source).to_pylist()]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in (id_col, *keep)], pa.array(found, pa.float64())], [id_col, *keep, "score"])
 
-    return docs.select(id_col, *keep, F.col(text_col).alias("_text")).mapInArrow(run, f"{kinds}, score double").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    rows = docs.select(id_col, *keep, *([F.col(text_col).alias("_text")] if source == "_text" else []))
+    return rows.mapInArrow(run, f"{kinds}, score double").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

@@ -183,9 +183,10 @@ class Group:
 
     def __init__(self, texts: pa.Table, notes: pa.Table, bits: int) -> None:
         kinds, data = notes.column("kind").to_pylist(), notes.column("data").to_pylist()
-        rows = sorted(((i is None, i or 0, (t or "").encode()) for i, t in zip(texts.column("doc_id").to_pylist(), texts.column("text").to_pylist())))
-        self.ids = [None if none else i for none, i, _ in rows]
-        self.texts = [t for _, _, t in rows]
+        rows = sorted(((i is None, i or 0, (t or "").encode(), n) for n, (i, t) in enumerate(zip(texts.column("doc_id").to_pylist(), texts.column("text").to_pylist()))))
+        self.ids = [None if none else i for none, i, _, _ in rows]
+        self.texts = [t for _, _, t, _ in rows]
+        self.order = [n for _, _, _, n in rows]
         later = {(i, n) for d, k in zip(data, kinds) if k == "copies" for i, n in zip(*(x.tolist() for x in unpack(d)))}
         # a copy of an earlier document goes whole if a window fits in it
         self.whole = [len(t) >= WIDTH and i is not None and (i & (1 << 64) - 1, len(t)) in later for i, t in zip(self.ids, self.texts)]
@@ -239,7 +240,7 @@ class Group:
         return pa.table({"bucket": pa.array(bucket[order[edges]].astype(np.int64) if n else [], pa.int64()), "group": pa.array([group] * len(out), pa.int64()), "data": pa.array(out, pa.binary())})
 
     def cut(self) -> pa.Table:
-        """(doc_id, n_bytes, n_removed, n_spans, kept): what is left once the windows are gone that a smaller id has."""
+        """(doc_id, n_bytes, n_removed, n_spans, kept, kept_text): what is left once the windows are gone that a smaller id has."""
         least: list = list(self.least)
         for number, windows, values in self.answers:
             values, at = values.view(np.int64), 0
@@ -255,12 +256,13 @@ class Group:
             elif (of < own).any():
                 hit = np.flatnonzero(np.diff(np.concatenate([[0], of < own, [0]])))
                 marks.setdefault(doc, []).extend((start + int(a), start + int(b) + WIDTH - 1) for a, b in zip(hit[::2], hit[1::2]))
-        removed, spans, kept = [], [], []
+        removed, spans, kept, whole = [], [], [], []
         for doc, text in enumerate(self.texts):
             if self.whole[doc]:
                 removed.append(len(text))
                 spans.append(1)
                 kept.append(b"")
+                whole.append("")
                 continue
             left, end, gone, n = [], 0, 0, 0
             for a, b in sorted(marks.get(doc, ())):
@@ -273,7 +275,8 @@ class Group:
             removed.append(gone)
             spans.append(n)
             kept.append(b"".join(left))
-        return pa.table({"doc_id": pa.array(self.ids, pa.int64()), "n_bytes": pa.array([len(t) for t in self.texts], pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept": pa.array(kept, pa.binary())})
+            whole.append("".join(x.decode(errors="ignore") for x in left))  # what a cut leaves of a character goes
+        return pa.table({"doc_id": pa.array(self.ids, pa.int64()), "n_bytes": pa.array([len(t) for t in self.texts], pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept": pa.array(kept, pa.binary()), "kept_text": pa.array(whole, pa.string())})
 
 
 def words_of(text: np.ndarray) -> np.ndarray:
@@ -416,22 +419,23 @@ def answers(questions: DataFrame) -> DataFrame:
     return questions.groupBy("bucket").applyInPandas(meet, "group long, kind string, data binary")
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT, group_bytes: int = GROUP, bucket_bytes: int = BUCKET) -> DataFrame:
-    """Rows (doc_id, n_bytes, n_removed, n_spans, kept binary), one per document.
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), frequent: int = FREQUENT, group_bytes: int = GROUP, bucket_bytes: int = BUCKET) -> DataFrame:
+    """Rows (doc_id, *keep, n_bytes, n_removed, n_spans, kept binary, kept_text string), one per document.
 
-    kept: the UTF-8 bytes of the text without those that a string of WIDTH bytes covers which starts in a
+    kept_text: the same without the characters that lost some of their bytes. kept: the UTF-8 bytes of the text without those that a string of WIDTH bytes covers which starts in a
     document with a smaller id as well. Null texts count as empty. Documents without an id are kept whole
     and remove nothing; rows with the same id don't remove from each other. Copies of a whole text are
     settled by digest, so any number of them costs a row each. Other columns go.
     """
     spark = docs.sparkSession
-    raw = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    kinds = "".join(f", `_{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    raw = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *[F.col(c).alias(f"_{c}") for c in keep])
     sizes = checkpointed(raw.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("digest")))
     total = sizes.agg(F.sum("n_bytes")).first()[0] or 0
     groups, buckets = 1 + total // group_bytes, 1 + total // bucket_bytes
     bits = min(62, 24 + max(1, total // 12).bit_length())
     group = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1))), F.lit(groups)).alias("group")
-    texts = raw.select(group, "doc_id", "text")
+    texts = raw.select(group, "doc_id", "text", *[f"_{c}" for c in keep])
     notes = checkpointed(shared(seeds(texts.where(f"doc_id IS NOT NULL AND octet_length(text) >= {WIDTH}"), groups, buckets, bits), frequent))
 
     first = sizes.where(f"doc_id IS NOT NULL AND n_bytes >= {WIDTH}").groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("d"), "least")
@@ -451,8 +455,13 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return Group(own, said, bits).questions(key[0].as_py(), buckets)
 
     def cut(key: tuple, own: pa.Table, said: pa.Table) -> pa.Table:
-        return Group(own, said, bits).cut()
+        group = Group(own, said, bits)
+        out = group.cut()
+        for c in keep:
+            out = out.append_column(f"_{c}", own.column(f"_{c}").take(pa.array(group.order, pa.int64())))
+        return out
 
     asked = texts.groupBy("group").cogroup(notes.groupBy("group")).applyInArrow(ask, "bucket long, group long, data binary")
     told = notes.unionByName(answers(asked))
-    return texts.groupBy("group").cogroup(told.groupBy("group")).applyInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary").withColumnRenamed("doc_id", id_col)
+    out = texts.groupBy("group").cogroup(told.groupBy("group")).applyInArrow(cut, f"doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_text string{kinds}")
+    return out.select(F.col("doc_id").alias(id_col), *[F.col(f"_{c}").alias(c) for c in keep], "n_bytes", "n_removed", "n_spans", "kept", "kept_text")
