@@ -36,7 +36,7 @@ WIDTH, GRAM = 50, 24
 #: Windows of a run at most, and documents with a minimizer from which it counts as frequent.
 LONGEST_RUN, FREQUENT = 256, 256
 #: Bytes of text of a group of documents, of text whose seeds one bucket holds, and of a block of suffixes.
-GROUP, BUCKET, BLOCK = 4 << 20, 16 << 20, 1 << 20
+GROUP, BUCKET, BLOCK = 4 << 20, 4 << 20, 1 << 20
 #: Period and residues of the difference cover: every difference modulo 7 is one of two residues.
 PERIOD, COVER = 7, (0, 1, 3)
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -438,7 +438,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     texts = raw.select(group, "doc_id", "text", *[f"_{c}" for c in keep])
     notes = checkpointed(shared(seeds(texts.where(f"doc_id IS NOT NULL AND octet_length(text) >= {WIDTH}"), groups, buckets, bits), frequent))
 
-    first = sizes.where(f"doc_id IS NOT NULL AND n_bytes >= {WIDTH}").groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("d"), "least")
+    first = checkpointed(sizes.where(f"doc_id IS NOT NULL AND n_bytes >= {WIDTH}").groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("d"), "least"))  # so that Spark may split a hot digest in the join
     copies = sizes.join(first, F.expr("digest = d AND doc_id > least")).select(group, "doc_id", "n_bytes")
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
