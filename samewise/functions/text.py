@@ -18,6 +18,11 @@ def filled(s: Column | str) -> Column:
     return F.coalesce(F.col(s) if isinstance(s, str) else s, F.lit(""))
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with the value computed once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def tokens(s: Column) -> Column:
     """The words between single spaces; of an empty text there are none."""
     return F.filter(F.split(s, " "), lambda t: t != "")
@@ -41,10 +46,13 @@ def transliterate(s: Column) -> Column:
     signs = "".join(chr(deva + k) for k in tables.VOWEL_SIGNS) + chr(deva + tables.VIRAMA)
     roman = {k: v for t in (tables.CONSONANTS, tables.VOWELS, tables.VOWEL_SIGNS, tables.NASALS) for k, v in t.items()} | {tables.DIGIT_ZERO + i: str(i) for i in range(10)}
     table = F.create_map(*[F.lit(x) for k, v in roman.items() for x in (chr(deva + k), v)])
-    plain = F.translate(F.translate(s, fold, onto), mute, "")
-    voiced = F.regexp_replace(plain, f"([{cons}])(?=[\\u0900-\\u097F\\p{{L}}\\p{{N}}&&[^{signs}]])", "$1a")
-    read = F.array_join(F.transform(F.split(voiced, ""), lambda c: F.coalesce(table[c], F.when(c.rlike("[\\u0900-\\u097F]"), "").otherwise(c))), "")
-    return F.when(has_indic(s), read).otherwise(s)
+
+    def read(s: Column) -> Column:
+        plain = F.translate(F.translate(s, fold, onto), mute, "")
+        voiced = F.regexp_replace(plain, f"([{cons}])(?=[\\u0900-\\u097F\\p{{L}}\\p{{N}}&&[^{signs}]])", "$1a")
+        return F.array_join(F.transform(F.split(voiced, ""), lambda c: F.coalesce(table[c], F.when(c.rlike("[\\u0900-\\u097F]"), "").otherwise(c))), "")
+
+    return let(s, lambda x: F.when(has_indic(x), read(x)).otherwise(x))
 
 
 @lru_cache(maxsize=1)
@@ -73,8 +81,11 @@ def strip_accents(s: Column) -> Column:
     """Compatibility decomposition without combining marks, as far as its result has ASCII characters."""
     one, onto, more = accents()
     several = F.create_map(*[F.lit(x) for kv in more.items() for x in kv])
-    spread = F.when(s.rlike("[" + "".join(more) + "]"), F.array_join(F.transform(F.split(s, ""), lambda c: F.coalesce(several[c], c)), "")).otherwise(s)
-    return F.when(s.rlike("[^\\x00-\\x7F]"), F.translate(spread, one, onto)).otherwise(s)
+
+    def spread(s: Column) -> Column:
+        return F.when(s.rlike("[" + "".join(more) + "]"), F.array_join(F.transform(F.split(s, ""), lambda c: F.coalesce(several[c], c)), "")).otherwise(s)
+
+    return let(s, lambda x: F.when(x.rlike("[^\\x00-\\x7F]"), F.translate(spread(x), one, onto)).otherwise(x))
 
 
 def strip_domains(s: Column) -> Column:
@@ -89,11 +100,14 @@ def clean(s: Column | str) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(s, r"[^0-9a-z\s]+", " "), r"\s+", " "))
 
 
+def without_legal(c: Column) -> Column:
+    """A cleaned name without legal forms, unless nothing else is there."""
+    kept = F.filter(tokens(c), lambda t: ~t.isin(tables.LEGAL))
+    return let(kept, lambda k: F.when(F.size(k) > 0, F.array_join(k, " ")).otherwise(c))
+
+
 def norm_name(s: Column | str) -> Column:
-    """clean() without legal forms, unless nothing else is there."""
-    base = clean(s)
-    kept = F.filter(tokens(base), lambda t: ~t.isin(tables.LEGAL))
-    return F.when(F.size(kept) > 0, F.array_join(kept, " ")).otherwise(base)
+    return let(clean(s), without_legal)
 
 
 def skeleton(s: Column) -> Column:
@@ -110,12 +124,16 @@ def denumbered(t: Column) -> Column:
     return F.regexp_replace(t, "^0+([1-9])", "$1")
 
 
-def norm_addr(s: Column | str) -> Column:
-    """clean() word by word: abbreviation, else state, else dropped stop word, else leading zeros off."""
+def expanded(c: Column) -> Column:
+    """A cleaned address word by word: abbreviation, else state, else dropped stop word, else leading zeros off."""
     known = tables.STATES | tables.ABBREVIATIONS
     table = F.create_map(*[F.lit(x) for kv in known.items() for x in kv])
-    kept = F.filter(tokens(clean(s)), lambda t: ~t.isin([w for w in tables.ADDRESS_STOPWORDS if w not in known]))
-    return F.array_join(F.transform(kept, lambda t: F.when(t.isin(list(known)), table[t]).otherwise(denumbered(t))), " ")
+    kept = F.filter(tokens(c), lambda t: ~t.isin([w for w in tables.ADDRESS_STOPWORDS if w not in known]))
+    return F.array_join(F.transform(kept, lambda t: F.coalesce(table[t], denumbered(t))), " ")
+
+
+def norm_addr(s: Column | str) -> Column:
+    return expanded(clean(s))
 
 
 def postal(s: Column) -> Column:
@@ -156,7 +174,7 @@ def normalised(df, name: str = "business_name", address: str = "business_address
     zero_fix takes the postal code before leading zeros go, so that codes that start with 0 keep their
     five digits; without it, it is taken from the normalised address.
     """
-    df = df.withColumns({"n_name": norm_name(name), "n_addr": norm_addr(address), "c_name": clean(name)})
-    code = postal(clean(address)) if zero_fix else postal(F.col("n_addr"))
-    n = F.col("n_name")
-    return df.withColumns({"s_name": skeleton(n), "name_sorted": sorted_key(n), "name_acr": acronym(n), "postal": code, "blob": F.trim(F.concat_ws(" ", n, "n_addr"))})
+    df = df.withColumns({"c_name": clean(name), "_c_addr": clean(address)})
+    df = df.withColumns({"n_name": without_legal(F.col("c_name")), "n_addr": expanded(F.col("_c_addr"))})
+    n, code = F.col("n_name"), postal(F.col("_c_addr")) if zero_fix else postal(F.col("n_addr"))
+    return df.withColumns({"s_name": skeleton(n), "name_sorted": sorted_key(n), "name_acr": acronym(n), "postal": code, "blob": F.trim(F.concat_ws(" ", n, "n_addr"))}).drop("_c_addr")

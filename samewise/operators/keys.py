@@ -53,6 +53,10 @@ def record_keys(records: DataFrame, wide: bool = False, sample: bool = True, tag
         "N": F.flatten(F.transform(bare, lambda n: F.transform(F.slice(words, 1, words_of_number), lambda w: F.concat(n, F.lit("|"), w)))),
         "A": F.when(F.size(numbers) == 0, adjacent(words, "|")).otherwise(none()),
     }
-    every = F.concat(*[F.transform(own[t], lambda k, t=t: F.struct(F.lit(t).alias("tag"), k.alias("key"))) for t in tags])
+
+    def tagged(t: str) -> Column:
+        return F.transform(own[t], lambda k: F.struct(F.lit(t).alias("tag"), k.alias("key")))
+
+    every = F.concat(*map(tagged, tags))
     flat = records.select("entity_id", "country_key", F.explode(every).alias("k")).select("entity_id", "country_key", "k.tag", "k.key")
     return flat.groupBy("entity_id", "country_key", "tag", "key").agg(F.count("*").alias("tf"))

@@ -43,8 +43,23 @@ def raw(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select(of.alias("entity_id"), F.array_join(F.slice(w, 1, 6), " ").alias("business_name"), F.array_join(F.slice(w, 7, 10), " ").alias("business_address"), F.col("lang").alias("country"), F.lower("lang").alias("country_key"))
 
 
+def checkpoints(spark) -> None:
+    """A folder for checkpoints where the cluster names none, as on a single machine."""
+    import tempfile
+
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """A table that later steps scan again and again, written once to the checkpoint folder."""
+    checkpoints(df.sparkSession)
+    return df.checkpoint()
+
+
 def records(spark: SparkSession, sf: str) -> DataFrame:
-    return tx.normalised(raw(spark, sf))
+    return kept(tx.normalised(raw(spark, sf)))
 
 
 def sides(df: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -53,8 +68,9 @@ def sides(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def searched(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    a, b = sides(records(spark, sf))
-    return a, b, keys.record_keys(a), keys.record_keys(b)
+    r = records(spark, sf)
+    k = kept(keys.record_keys(r))
+    return *sides(r), *sides(k)
 
 
 def scored_pairs(spark: SparkSession, sf: str, k: int = 10) -> DataFrame:
@@ -372,15 +388,6 @@ def components(spark, sf):
     return cluster.components(e, d)
 
 
-def checkpoints(spark) -> None:
-    """A folder for checkpoints where the cluster names none, as on a single machine."""
-    import tempfile
-
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
-
-
 @query()
 def cluster_rule(spark, sf):
     r = records(spark, sf).select(F.col("entity_id").alias("cand_id"), "s_name", "n_addr")

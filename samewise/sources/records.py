@@ -31,7 +31,7 @@ def split_sources(spark: SparkSession, folder: str, split: str = "train") -> dic
 
 def id_list(s: Column) -> Column:
     """The distinct ids of a comma list, trimmed, without blanks."""
-    return F.array_distinct(F.filter(F.transform(F.split(F.coalesce(s, F.lit("")), ","), F.trim), lambda t: t != ""))
+    return F.array_distinct(F.filter(F.transform(F.split(F.coalesce(s, F.lit("")), ","), lambda t: F.trim(t)), lambda t: t != ""))
 
 
 def id_text(ids: Column) -> Column:
