@@ -81,13 +81,13 @@ def stacked(pairs: DataFrame) -> DataFrame:
 
 def fit_stack(pairs: DataFrame, features: list[str], folds: int = 3, first_rounds: int = 30, **how) -> tuple[PairModel, PairModel]:
     """First and second stage: the second sees first-stage probabilities of models that did not see the entity."""
-    k = fold(F.col(ENTITY), folds)
-    parts = [PairModel.fit(pairs.where(k != f), features, rounds=first_rounds, **how).transform(pairs.where(k == f), "p1") for f in range(folds)]
+    k, one = fold(F.col(ENTITY), folds), how | {"rounds": first_rounds}
+    parts = [PairModel.fit(pairs.where(k != f), features, **one).transform(pairs.where(k == f), "p1") for f in range(folds)]
     rows = parts[0]
     for more in parts[1:]:
         rows = rows.unionByName(more)
     second = PairModel.fit(stacked(rows.checkpoint()), [*features, *STACKED], **how)
-    return PairModel.fit(pairs, features, rounds=first_rounds, **how), second
+    return PairModel.fit(pairs, features, **one), second
 
 
 def predict_stack(pairs: DataFrame, first: PairModel, second: PairModel) -> DataFrame:

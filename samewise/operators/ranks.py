@@ -34,7 +34,7 @@ def relative(pairs: DataFrame, columns: list[str], parity: bool = False) -> Data
         best = F.greatest(F.max(c).over(w), F.lit(0.0))
         if parity:
             best = F.when(F.count_if(F.col(c).isNull()).over(w) == 0, best)
-        made |= {f"{c}_rel": F.col(c) / F.greatest(best, F.lit(1e-6)), f"{c}_gap": best - F.col(c)}
+        made |= {f"{c}_rel": F.when(best.isNotNull(), F.col(c) / F.greatest(best, F.lit(1e-6))), f"{c}_gap": best - F.col(c)}
     return pairs.withColumns(made)
 
 
