@@ -25,8 +25,8 @@ SPACES = " \t\n\v\f\r"
 RULES = {
     "word_length": ("100 * word_chars DIV greatest(n_words, 1)", True, 200),
     "symbols": ("10000 * n_symbols DIV greatest(n_words, 1)", False, 1000),
-    "dup_lines": ("10000 * n_dup_lines DIV greatest(n_lines, 1)", False, 2000),
-    "repeats": ("10000 * n_repeat_words DIV greatest(n_words, 1)", False, 1000),
+    "dup_lines": ("10000 * n_dup_lines DIV greatest(n_lines, 1)", False, 4500),
+    "repeats": ("10000 * n_repeat_words DIV greatest(n_words, 1)", False, 2000),
 }
 
 
