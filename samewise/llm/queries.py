@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licences, packing, piece_table, quality_model, quality_rules, secrets, sharding, simhash, suffix_dedup, vector_forest
+from . import licences, oracle, packing, piece_table, quality_model, quality_rules, secrets, sharding, simhash, suffix_dedup, vector_forest
 from .common import table
 
 
@@ -65,4 +65,4 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_quality_rules, op3_quality_model, op4_secrets, op5_vector_forest, op6_simhash, op7_packing, op8_sharding, op9_licences, op10_suffix_dedup)}
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op2_quality_rules": oracle.QUALITY_RULES, "op8_sharding": oracle.SHARDING}
