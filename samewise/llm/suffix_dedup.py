@@ -21,6 +21,7 @@ Only whole-corpus figures are collected (rows and bytes); texts are shuffled onc
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -201,8 +202,11 @@ class Group:
         self.least: list[int] = []
         self.minimizer: list[int] = []
         self.often: list[bool] = []
-        #: Where they are: document, start, windows, number.
-        self.places: list[tuple[int, int, int, int]] = []
+        #: Where they are, four numbers each: document, start, windows, number; of a frequent run -1 - its place in `runs`.
+        self.places = array("q")
+        #: Distinct frequent runs, and the numbers of the windows of each.
+        self.runs: dict[bytes, int] = {}
+        self.windows: list[array] = []
         if not len(key):
             return
         for k, starts, windows, m in runs_of([self.texts[i] for i in own]):
@@ -210,19 +214,23 @@ class Group:
             at = np.minimum(np.searchsorted(key, short), len(key) - 1)
             for j in np.flatnonzero(key[at] == short).tolist():
                 a, n = int(starts[j]), int(windows[j])
-                if often[at[j]]:
-                    for b in range(a, a + n):
-                        self.place(doc, text[b : b + WIDTH], b, 1, 0, True)
+                run = text[a : a + n + WIDTH - 1]
+                if not often[at[j]]:
+                    number = self.known(run, doc, int(m[j]), False)
                 else:
-                    self.place(doc, text[a : a + n + WIDTH - 1], a, n, int(m[j]), False)
+                    place = self.runs.setdefault(run, len(self.windows))
+                    if place == len(self.windows):
+                        self.windows.append(array("I", [self.known(run[b : b + WIDTH], doc, 0, True) for b in range(n)]))
+                    number = -1 - place
+                self.places.extend((doc, a, n, number))
 
-    def place(self, doc: int, text: bytes, start: int, windows: int, minimizer: int, often: bool) -> None:
+    def known(self, text: bytes, doc: int, minimizer: int, often: bool) -> int:
         number = self.number.setdefault(text, len(self.least))
         if number == len(self.least):
             self.least.append(self.ids[doc])
             self.minimizer.append(minimizer)
             self.often.append(often)
-        self.places.append((doc, start, windows, number))
+        return number
 
     def questions(self, group: int, buckets: int) -> pa.Table:
         """(bucket, group, data): the distinct strings, packed for the buckets of their minimizers or, of frequent ones, of themselves."""
@@ -247,9 +255,10 @@ class Group:
             for i, n in zip(number.tolist(), windows.tolist()):
                 least[i] = int(values[at]) if n == 1 else values[at : at + n]
                 at += n
-        marks = {}
-        for doc, start, windows, number in self.places:
-            of, own = least[number], self.ids[doc]
+        frequent = [np.array([least[i] for i in own], np.int64) for own in self.windows]
+        marks: dict[int, list[tuple[int, int]]] = {}
+        for doc, start, windows, number in np.frombuffer(self.places, np.int64).reshape(-1, 4).tolist():
+            of, own = least[number] if number >= 0 else frequent[-1 - number], self.ids[doc]
             if isinstance(of, int):
                 if of < own:
                     marks.setdefault(doc, []).append((start, start + windows + WIDTH - 1))
