@@ -6,6 +6,7 @@ ten as an address, the language as the country. Equal texts in different sources
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,7 +26,12 @@ Frame = DataFrame
 
 def query(oracle: str | None = None):
     def add(f):
-        QUERIES[f.__name__] = f
+        @functools.wraps(f)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            df = f(spark, sf_dir)  # whole numbers are of one width in both engines
+            return df.select(*[F.col(c).cast("long").alias(c) if kind in ("int", "smallint", "tinyint") else F.col(c) for c, kind in df.dtypes])
+
+        QUERIES[f.__name__] = run
         if oracle:
             ORACLE[f.__name__] = oracle
         return f
@@ -103,7 +109,7 @@ def customer_scalars(spark, sf):
 INDIC = {"मार्केटिंग": "marketing", "लिमिटेड": "limited", "राम": "ram", "राम श्याम": "ram shyam", "১২ ক": "12 k", "plain": "plain"}
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, '{v}', {str(k != 'plain').lower()})" for i, (k, v) in enumerate(INDIC.items())) + ") t(id, roman, indic)")
+@query("SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, '{v}', {str(k != 'plain').lower()})" for i, (k, v) in enumerate(INDIC.items())) + ") t(id, roman, indic)")
 def transliteration(spark, sf):
     given = F.array(*[F.struct(F.lit(i).alias("id"), F.lit(k).alias("s")) for i, k in enumerate(INDIC)])
     return spark.range(1).select(F.explode(given).alias("g")).select("g.id", tx.transliterate(F.col("g.s")).alias("roman"), tx.has_indic(F.col("g.s")).alias("indic"))
@@ -174,7 +180,7 @@ _RANKED = ", ".join(f"v_{v} AS (SELECT l, r, s, row_number() OVER (PARTITION BY
 
 @query(f"""{sql.BASE},{sql.stats(sql.RIGHT, 'st')},{_VIEWS}, {_RANKED}, al AS (SELECT l, r FROM v_name UNION SELECT l, r FROM v_addr UNION SELECT l, r FROM v_both)
 SELECT l AS source1_entity_id, r AS cand_id, coalesce(a.s, 0) AS sim_name, coalesce(b.s, 0) AS sim_addr, coalesce(c.s, 0) AS sim_both, a.k AS rank_name, b.k AS rank_addr, c.k AS rank_both,
- greatest(coalesce(a.s, 0), coalesce(b.s, 0), coalesce(c.s, 0)) AS sim_block, (coalesce(a.s, 0) > 0)::INT + (coalesce(b.s, 0) > 0)::INT + (coalesce(c.s, 0) > 0)::INT AS n_views
+ greatest(coalesce(a.s, 0), coalesce(b.s, 0), coalesce(c.s, 0)) AS sim_block, (coalesce(a.s, 0) > 0)::BIGINT + (coalesce(b.s, 0) > 0)::BIGINT + (coalesce(c.s, 0) > 0)::BIGINT AS n_views
 FROM al LEFT JOIN v_name a USING (l, r) LEFT JOIN v_addr b USING (l, r) LEFT JOIN v_both c USING (l, r)""")
 def block_multiview(spark, sf):
     return retrieve.multi_view(*searched(spark, sf), ks={"name": 8, "addr": 8, "both": 8})
@@ -199,19 +205,45 @@ def tfidf_char_views(spark, sf):
 
 
 @query(f"""{sql.FORWARD}, {sql.top('f', 6)},{sql.REVERSE} SELECT coalesce(f.source1_entity_id, r.source1_entity_id) AS source1_entity_id, coalesce(f.cand_id, r.cand_id) AS cand_id, coalesce(sim_block, 0) AS sim_block,
- (f.cand_id IS NOT NULL)::INT AS fwd_hit, coalesce(rev_score, 0) AS rev_score, coalesce(rev_rank, 99) AS rev_rank, (r.cand_id IS NOT NULL)::INT AS rev_hit, (f.cand_id IS NOT NULL AND r.cand_id IS NOT NULL)::INT AS both_hit
+ (f.cand_id IS NOT NULL)::BIGINT AS fwd_hit, coalesce(rev_score, 0) AS rev_score, coalesce(rev_rank, 99)::BIGINT AS rev_rank, (r.cand_id IS NOT NULL)::BIGINT AS rev_hit, (f.cand_id IS NOT NULL AND r.cand_id IS NOT NULL)::BIGINT AS both_hit
 FROM f FULL JOIN rev r ON f.source1_entity_id = r.source1_entity_id AND f.cand_id = r.cand_id""")
 def union_provenance(spark, sf):
     s = searched(spark, sf)
     return merge.union(retrieve.forward(*s, k=10), retrieve.reverse(*s, k=3), fwd_k=6, rev_k=3)
 
 
+_UNION = ORACLE["union_provenance"]
+
+
+@query(f"SELECT count(*) AS n_pairs, round(count(*) / count(DISTINCT source1_entity_id), 6) AS per_entity, count(*) FILTER (fwd_hit = 1 AND rev_hit = 0) AS fwd_only, count(*) FILTER (fwd_hit = 0 AND rev_hit = 1) AS rev_only, count(*) FILTER (both_hit = 1) AS both FROM ({_UNION})")
+def provenance_summary(spark, sf):
+    return merge.provenance(union_provenance(spark, sf)).withColumn("per_entity", F.round("per_entity", 6))
+
+
+@query(f"{sql.FORWARD}, {sql.top('f', 6)},{sql.REVERSE} SELECT source1_entity_id, cand_id, rev_score, rev_rank FROM rev WHERE source1_entity_id IN (SELECT source1_entity_id FROM f WHERE sim_block > 0.1)")
+def reverse_restricted(spark, sf):
+    s = searched(spark, sf)
+    return merge.restricted(retrieve.reverse(*s, k=3), retrieve.forward(*s, k=6).where("sim_block > 0.1")).select(*PAIR, "rev_score", "rev_rank")
+
+
+@query(f"""{sql.BASE},{sql.stats(sql.RIGHT, 'st')},{sql.scores('sn', sql.LEFT, sql.RIGHT, 'st', "tag IN ('F', 'T', 'B', 'G')")},{sql.scores('sa', sql.LEFT, sql.RIGHT, 'st', "tag IN ('P', 'N', 'A')")},
+z AS (SELECT coalesce(n.l, a.l) AS l, coalesce(n.r, a.r) AS r, coalesce(n.s, 0) AS x, coalesce(a.s, 0) AS y FROM sn n FULL JOIN sa a ON n.l = a.l AND n.r = a.r), sc AS (SELECT l, r, round(greatest(x, y) + 0.35 * least(x, y), 6) AS s FROM z), {sql.top('best', 5)} SELECT * FROM best""")
+def block_split_channels(spark, sf):
+    return retrieve.top_k(retrieve.split_scores(*searched(spark, sf)), 5)
+
+
+@query("WITH t AS (SELECT DISTINCT p_partkey, unnest(string_split(p_name, ' ')) AS token FROM part) SELECT token, round(ln((SELECT count(*) FROM part)::DOUBLE / (1 + count(*))) + 1, 6) AS idf FROM t GROUP BY token")
+def smooth_idf(spark, sf):
+    df, n = retrieve.token_df(table(spark, sf, "part"), "p_name")
+    return retrieve.smooth_idf(df, n.first()["n_docs"])[0].withColumn("idf", F.round("idf", 6))
+
+
 @query()
 def rescored_topk(spark, sf):
     return retrieve.rescored(retrieve.forward(*searched(spark, sf), k=20), records(spark, sf), k=5)
 
 
-@query(f"{sql.PAIRS}, {sql.LINKS} SELECT source1_entity_id, cand_id, (l.cand_id IS NOT NULL)::INT AS label FROM pairs p LEFT JOIN links l USING (source1_entity_id, cand_id)".replace("(l.cand_id IS NOT NULL)::INT", "(EXISTS (SELECT 1 FROM links l WHERE l.source1_entity_id = p.source1_entity_id AND l.cand_id = p.cand_id))::INT").replace("p LEFT JOIN links l USING (source1_entity_id, cand_id)", "p"))
+@query(f"{sql.PAIRS}, {sql.LINKS} SELECT source1_entity_id, cand_id, (l.cand_id IS NOT NULL)::BIGINT AS label FROM pairs p LEFT JOIN links l USING (source1_entity_id, cand_id)".replace("(l.cand_id IS NOT NULL)::BIGINT", "(EXISTS (SELECT 1 FROM links l WHERE l.source1_entity_id = p.source1_entity_id AND l.cand_id = p.cand_id))::BIGINT").replace("p LEFT JOIN links l USING (source1_entity_id, cand_id)", "p"))
 def labelled_pairs(spark, sf):
     return merge.labelled(scored_pairs(spark, sf), truth(spark, sf)[0]).select(*PAIR, "label")
 
@@ -225,13 +257,13 @@ def pruned_pairs(spark, sf):
 
 
 @query(f"""{sql.PAIRS} SELECT source1_entity_id, cand_id, count(*) OVER c AS cand_n_claims, greatest(max(sim_block) OVER c, 0) AS cand_max_sim, round(sim_block / greatest(max(sim_block) OVER c, 1e-6), 6) AS sim_rel_cand,
- (sim_block >= max(sim_block) OVER c - 1e-6)::INT AS cand_is_best, row_number() OVER (PARTITION BY cand_id ORDER BY sim_block DESC, source1_entity_id) - 1 AS cand_rank FROM pairs WINDOW c AS (PARTITION BY cand_id)""")
+ (sim_block >= max(sim_block) OVER c - 1e-6)::BIGINT AS cand_is_best, row_number() OVER (PARTITION BY cand_id ORDER BY sim_block DESC, source1_entity_id) - 1 AS cand_rank FROM pairs WINDOW c AS (PARTITION BY cand_id)""")
 def competition(spark, sf):
     return ranks.competition(scored_pairs(spark, sf).drop("prob")).withColumn("sim_rel_cand", F.round("sim_rel_cand", 6)).drop("sim_block")
 
 
 @query("""WITH c AS (SELECT l_partkey AS cand_id, l_suppkey AS source1_entity_id, sum(l_quantity)::DOUBLE AS score FROM lineitem GROUP BY ALL)
-SELECT cand_id, source1_entity_id, count(*) OVER w AS cand_n_claims, greatest(max(score) OVER w, 0) AS cand_max_sim, round(score / greatest(max(score) OVER w, 1e-6), 6) AS sim_rel_cand, (score >= max(score) OVER w - 1e-6)::INT AS cand_is_best,
+SELECT cand_id, source1_entity_id, count(*) OVER w AS cand_n_claims, greatest(max(score) OVER w, 0) AS cand_max_sim, round(score / greatest(max(score) OVER w, 1e-6), 6) AS sim_rel_cand, (score >= max(score) OVER w - 1e-6)::BIGINT AS cand_is_best,
  row_number() OVER (PARTITION BY cand_id ORDER BY score DESC, source1_entity_id) - 1 AS cand_rank FROM c WINDOW w AS (PARTITION BY cand_id)""")
 def competition_at_volume(spark, sf):
     c = table(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("cand_id"), F.col("l_suppkey").alias("source1_entity_id")).agg(F.sum("l_quantity").cast("double").alias("score"))
@@ -244,7 +276,7 @@ def entity_relative(spark, sf):
     return out.select(*PAIR, *[F.round(c, 6).alias(c) for c in ("sim_block_rel", "sim_block_gap", "prob_rel", "prob_gap")])
 
 
-@query(f"{sql.PAIRS} SELECT source1_entity_id, cand_id, (sim_block >= max(sim_block) OVER (PARTITION BY source1_entity_id) - 1e-9)::INT AS is_anchor, first_value(cand_id) OVER o AS anchor_cand_id, round(first_value(prob) OVER o, 6) AS anchor_prob FROM pairs WINDOW o AS (PARTITION BY source1_entity_id ORDER BY sim_block DESC, cand_id)")
+@query(f"{sql.PAIRS} SELECT source1_entity_id, cand_id, (sim_block >= max(sim_block) OVER (PARTITION BY source1_entity_id) - 1e-9)::BIGINT AS is_anchor, first_value(cand_id) OVER o AS anchor_cand_id, round(first_value(prob) OVER o, 6) AS anchor_prob FROM pairs WINDOW o AS (PARTITION BY source1_entity_id ORDER BY sim_block DESC, cand_id)")
 def anchors(spark, sf):
     out = ranks.anchored(scored_pairs(spark, sf), ["cand_id", "prob"])
     return out.select(*PAIR, "is_anchor", "anchor_cand_id", F.round("anchor_prob", 6).alias("anchor_prob"))
@@ -353,6 +385,19 @@ def pair_features(spark, sf):
     return features.pair_features(ranks.competition(scored_pairs(spark, sf).drop("prob")), records(spark, sf))
 
 
+@query(f"{sql.PAIRS}, e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 4 <> 1) SELECT source1_entity_id, cand_id, round(list_inner_product(a.v, b.v), 6) AS emb_cos FROM pairs LEFT JOIN e a ON a.vec_id = {sql.NUMBER.format('source1_entity_id')} LEFT JOIN e b ON b.vec_id = {sql.NUMBER.format('cand_id')}")
+def embedding_pairs(spark, sf):
+    of = lambda k: F.concat(F.lit(f"S{k}-"), F.col("vec_id").cast("string"))
+    e = table(spark, sf, "embeddings").where("vec_id % 4 <> 1").select(F.when(F.col("vec_id") % 3 == 0, of(1)).when(F.col("vec_id") % 3 == 1, of(2)).otherwise(of(3)).alias("entity_id"), F.col("embedding").alias("vector"))
+    return features.embedding_cosine(scored_pairs(spark, sf), e).select(*PAIR, F.round("emb_cos", 6).alias("emb_cos"))
+
+
+@query()
+def stacked_features(spark, sf):
+    r = records(spark, sf).select(F.col("entity_id").alias("cand_id"), "s_name", "n_addr")
+    return model.stacked(scored_pairs(spark, sf).withColumnRenamed("prob", "p1").join(r, "cand_id")).select(*PAIR, *model.STACKED)
+
+
 @query()
 def early_features(spark, sf):
     return features.early_features(scored_pairs(spark, sf).drop("prob"), records(spark, sf))
