@@ -33,9 +33,9 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed, pieces
 
-WIDTH, GRAM = 50, 24
+WIDTH, GRAM = 50, 20
 #: Windows of a run at most, and documents with a minimizer from which it counts as frequent.
-LONGEST_RUN, FREQUENT = 256, 256
+LONGEST_RUN, FREQUENT = 256, 2048
 #: Bytes of text of a group of documents, of text whose seeds one bucket holds, and of a block of suffixes.
 GROUP, BUCKET, BLOCK = 4 << 20, 4 << 20, 1 << 20
 #: Period and residues of the difference cover: every difference modulo 7 is one of two residues.
