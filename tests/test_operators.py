@@ -187,3 +187,39 @@ def test_stream(spark, tmp_path):
     q = normalised_stream(stream, str(tmp_path / "out"), str(tmp_path / "cp"))
     q.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).first()["n_name"] == "acme"
+
+
+def test_grams_of_the_views(spark):
+    df = spark.createDataFrame([("ab cde f",), ("a",), ("",)], "s string")
+    got = {how: [r["g"] for r in df.select(tfidf.grams(F.col("s"), how).alias("g")).collect()] for how in ("word", "char3", "char_wb3")}
+    assert got["word"] == [["ab", "cde"], [], []]
+    assert got["char3"] == [["abc", "bcd", "cde", "def"], ["a"], []]
+    assert got["char_wb3"] == [[" ab", "ab ", " cd", "cde", "de ", " f "], [" a "], []]
+    with pytest.raises(ValueError):
+        tfidf.grams(F.col("s"), "other")
+
+
+def test_rescoring_and_sibling_support_against_plain_python(spark):
+    from samewise.functions import fuzzy
+
+    r = random.Random(8)
+    word = lambda: r.choice(["KLP", "TNS", "MRK", "PLS", "STN"])
+    recs = {f"S{k}-{i}": (" ".join(word() for _ in range(r.randint(1, 3))), r.choice(["", "main street 5", "elm road 7", "oak lane"])) for k in (1, 2) for i in range(8)}
+    df = spark.createDataFrame([(i, *v) for i, v in recs.items()], "entity_id string, s_name string, n_addr string")
+    rows = [(f"S1-{i}", f"S2-{j}", round(r.random(), 3)) for i in range(5) for j in range(8)]
+    pairs = spark.createDataFrame(rows, "source1_entity_id string, cand_id string, sim_block double")
+    two = lambda a, b: (fuzzy.token_set_ratio(recs[a][0], recs[b][0]), fuzzy.token_set_ratio(recs[a][1], recs[b][1]))
+    score = {(e, c): round(max(two(e, c)) + 0.35 * min(two(e, c)) + 0.05 * 100 * s, 6) for e, c, s in rows}
+    got = {(x["source1_entity_id"], x["cand_id"]): x["sim_block"] for x in retrieve.rescored(pairs, df, 3).collect()}
+    for e in {e for e, _, _ in rows}:
+        own = sorted((k for k in score if k[0] == e), key=lambda k: (-score[k], k[1]))[:3]
+        assert {k for k in got if k[0] == e} == set(own) and all(abs(got[k] - score[k]) < 1e-6 for k in own)
+    own = pairs.withColumnRenamed("sim_block", "p1").join(df.withColumnRenamed("entity_id", "cand_id"), "cand_id")
+    found = {(x["source1_entity_id"], x["cand_id"]): x for x in model.stacked(own).collect()}
+    for e, c, p in rows:
+        others = [(max(two(c, d)), q) for f, d, q in rows if f == e and d != c]
+        g = found[e, c]
+        want = (max(s / 100 * q for s, q in others), sum(s / 100 * q for s, q in others), sum(s >= 85 and q >= 0.5 for s, q in others), max(s for s, _ in others))
+        assert all(abs(a - b) < 1e-9 for a, b in zip(want, (g["sib_max"], g["sib_sum"], g["sib_cnt"], g["sib_sim"])))
+        top = max(q for f, _, q in rows if f == e)
+        assert abs(g["p1_rel"] - p / top) < 1e-9 and abs(g["p1_gap"] - (top - p)) < 1e-9
