@@ -89,7 +89,8 @@ def components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
     """Connected components of the undirected links (a, b): rows (node, component), component the least node.
 
     Alternates large-star and small-star steps, each of which replaces a link by one link to the
-    least neighbour; hot nodes are only ever aggregated with min, which combines before the shuffle.
+    least neighbour. The least neighbours are written out before they are joined, so that both sides of the
+    join are dealt anew and Spark can split a node with a great many links.
     Nodes without a link do not appear. Every round is checkpointed, so a lost executor costs one round.
     """
     e = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
@@ -99,9 +100,11 @@ def components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
         # large star: of each node, the larger neighbours move to its least neighbour or itself
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("m", "u").alias("m"))
+        least = checkpointed(least)
         e = both.join(least, both.u == least.k).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # small star: of each node, the smaller neighbours and itself move to the least
-        least = e.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "k")
+        e = checkpointed(e)
+        least = checkpointed(e.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "k"))
         moved = e.join(least, e.u == least.k)
         e = moved.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select(F.col("k").alias("u"), F.col("m").alias("v"))).distinct()
         e = checkpointed(e)
