@@ -14,6 +14,7 @@ scoring is one narrow pass over whole texts with a model of fixed size.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -127,20 +128,25 @@ def third(id_col: str = "doc_id"):
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", most_labelled: int = MOST_LABELLED, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Fits on the `most_labelled` labelled documents, not held out, whose hashed ids are least; null labels don't count."""
-    chosen = labels.where(third(id_col) != 1).where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("label"))
+    """Fits on the `most_labelled` labelled documents, not held out, whose hashed ids are least.
+
+    Null labels don't count, repeated labels and ids do once.
+    """
+    chosen = labels.where(third(id_col) != 1).where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("label")).where("i IS NOT NULL").distinct()
     chosen = chosen.orderBy(F.xxhash64("i"), "i", "label").limit(most_labelled)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
-            found = [indicators(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("i"), batch.column("label"), pa.array(found, pa.list_(pa.int32()))], ["i", "label", "at"])
+            found = [indicators(t).tobytes() for t in batch.column("text").to_pylist()]
+            digest = pa.array([zlib.crc32((t or "").encode()) for t in batch.column("text").to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("i"), batch.column("label"), pa.array(found, pa.binary()), digest], ["i", "label", "at", "digest"])
 
     text = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
     found = text.join(F.broadcast(chosen), F.expr("doc = i")).select("i", "label", "text")  # most_labelled rows at most
-    found = found.mapInArrow(run, f"i {labels.schema[id_col].dataType.simpleString()}, label int, at array<int>")
-    rows = sorted(((r["i"], r["label"], r["at"]) for r in found.limit(2 * most_labelled).collect()), key=lambda r: (r[0], r[1], len(r[2]), r[2]))
-    return fit([np.array(r[2], np.int32) for r in rows], np.array([r[1] for r in rows], np.int64))
+    found = found.mapInArrow(run, f"i {labels.schema[id_col].dataType.simpleString()}, label int, at binary, digest long")
+    found = found.groupBy("i", "label").agg(F.min_by("at", F.struct("digest", "at")).alias("at"))  # of rows with one id, one
+    rows = sorted((r["i"], r["label"], bytes(r["at"])) for r in found.collect())
+    return fit([np.frombuffer(r[2], np.int32) for r in rows], np.array([r[1] for r in rows], np.int64))
 
 
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
