@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from samewise.llm import packing, quality_model, secrets, simhash, suffix_dedup
+from samewise.llm import near_sets, packing, quality_model, secrets, suffix_dedup
 from samewise.llm.common import remove, stored, table
 from samewise.llm.queries import tokenizer
 
@@ -26,8 +26,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-copies, the document with the smallest id; of rows with one id, one. Rows without an id stay."""
-    groups = simhash.near_duplicates(docs).where("doc_id IS NOT NULL")
+    """Of each group of near-copies (5-word shingles, similarity 0.8 or more), the document with the smallest id; of rows with one id, one. Rows without an id stay."""
+    groups = near_sets.near_duplicates(docs).where("doc_id IS NOT NULL")
     odd = groups.groupBy("doc_id").agg(F.min("component_id").alias("first"), F.count("*").alias("n")).where("n > 1 OR first <> doc_id").select(F.col("doc_id").alias("id"), "first", "n")
     marked = docs.select(*COLUMNS).join(odd, F.expr("doc_id = id"), "left")
     repeated = marked.where("n > 1 AND first = doc_id").select(*COLUMNS).dropDuplicates(["doc_id"])

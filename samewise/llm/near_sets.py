@@ -1,0 +1,170 @@
+"""Near-copies by the Jaccard similarity of their word shingles: prefixes propose pairs, whole sets confirm them.
+
+In any one order of all shingles, two sets of similarity 0.8 or more share a shingle among the first fifth (and
+one) of each, so texts that meet at no such shingle are never near. The order puts shingles that a sketch of the
+corpus has seen often last; it decides what is compared, never what is found. Texts that meet are first compared with one
+of those they meet, then with all that are not yet joined to them; links are what the exact check confirms.
+"""
+
+from __future__ import annotations
+
+from collections import OrderedDict
+from collections.abc import Iterator
+from itertools import accumulate
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import checkpointed, components, pieces
+
+SEED, SHINGLE = 42, 5
+#: Least similarity, as a fraction of whole numbers.
+OVER, UNDER = 4, 5
+SLOTS, MOST_HOT = 1 << 20, 20_000
+FITS = f"{UNDER} * least(x.n, y.n) >= {OVER} * greatest(x.n, y.n)"
+
+
+def shingles(text: str | None) -> np.ndarray:
+    """The distinct hashes of the text's word shingles, in order; of a text of fewer words, the hash of them all."""
+    from xxhash import xxh64_intdigest
+
+    words = text.encode().lower().split() if text else []  # of bytes, these know ASCII alone
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(words)
+    starts = list(accumulate((len(w) + 1 for w in words), initial=0))
+    ends = starts[SHINGLE:] or starts[-1:]
+    return np.unique(np.fromiter((xxh64_intdigest(joined[i : j - 1], SEED) for i, j in zip(starts, ends)), np.uint64, len(ends)))
+
+
+def near(a: np.ndarray, b: np.ndarray) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return UNDER * both >= OVER * (len(a) + len(b) - both)
+
+
+def digest(own: np.ndarray) -> int:
+    from xxhash import xxh64_intdigest
+
+    return xxh64_intdigest(own.tobytes(), SEED) if len(own) else 0
+
+
+def longs(values: list[int]) -> pa.Array:
+    return pa.array(np.array(values, np.uint64).view(np.int64))
+
+
+def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, t, c): c the digest of the set; at the end (slot, n) of the slots that the task saw most."""
+    names, seen, total = ["doc_id", "t", "c", "slot", "n"], np.zeros(SLOTS, np.int64), 0
+    for batch in pieces(batches, "text"):
+        c = []
+        for text in batch.column("text").to_pylist():
+            own = shingles(text)
+            c.append(digest(own))
+            np.add.at(seen, (own & np.uint64(SLOTS - 1)).astype(np.int64), 1)
+            total += len(own)
+        none = pa.nulls(len(c), pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("t"), longs(c), none, none], names)
+    hot = np.flatnonzero(seen >= 16 + 4 * total // SLOTS)
+    none = pa.nulls(len(hot), pa.int64())
+    yield pa.RecordBatch.from_arrays([none, none, none, pa.array(hot), pa.array(seen[hot])], names)
+
+
+def prefixes(docs: DataFrame, hot: list[tuple[int, int]]) -> DataFrame:
+    """Rows (key, c, n): the shingles of each set that any near one has a share in, and its size."""
+    slots, counts = np.array([s for s, _ in hot], np.int64), np.array([n for _, n in hot], np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often, done = np.zeros(SLOTS, np.int64), set()
+        often[slots] = counts
+        for batch in pieces(batches, "text"):
+            keys, cs, ns = [np.zeros(0, np.uint64)], [], []
+            for text in batch.column("text").to_pylist():
+                own = shingles(text)
+                c, n = digest(own), len(own)
+                if c in done:
+                    continue
+                done.add(c)
+                keys.append(own[np.argsort(often[(own & np.uint64(SLOTS - 1)).astype(np.int64)], kind="stable")][: n + 1 + -OVER * n // UNDER])
+                cs += [c] * len(keys[-1])
+                ns += [n] * len(keys[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), longs(cs), pa.array(ns, pa.int64())], ["key", "c", "n"])
+
+    return docs.select("text").mapInArrow(run, "key long, c long, n long")
+
+
+def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows ordered by key and c, the members of each key that has two or more."""
+    left = np.zeros((3, 0), np.int64)
+
+    def lists(rows: np.ndarray) -> pa.RecordBatch:
+        rows = rows[:, np.append(True, (rows[:2, 1:] != rows[:2, :-1]).any(0))] if rows.shape[1] else rows
+        _, at, size = np.unique(rows[0], return_index=True, return_counts=True)
+        rows = rows[:, np.repeat(size > 1, size)[: rows.shape[1]]]
+        offsets = np.append(0, np.cumsum(size[size > 1]))
+        own = pa.StructArray.from_arrays([pa.array(rows[1]), pa.array(rows[2])], ["c", "n"])
+        return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), own)], ["m"])
+
+    for batch in batches:
+        if batch.num_rows:
+            left = np.hstack([left, np.array([batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)])])
+            whole = np.searchsorted(left[0], left[0, -1])
+            if whole:
+                yield lists(left[:, :whole])
+                left = left[:, whole:]
+    if left.shape[1]:
+        yield lists(left)
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Of pairs (a, b) of classes, those near by their whole sets; texts are (c, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: OrderedDict[int, np.ndarray] = OrderedDict()
+
+        def of(c: int, text: str) -> np.ndarray:
+            if c not in held:
+                held[c] = shingles(text)
+                if len(held) > 64:
+                    held.popitem(last=False)
+            return held[c]
+
+        for batch in batches:
+            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
+            found = [near(of(x, batch.column("ta")[i].as_py()), of(y, batch.column("tb")[i].as_py())) for i, (x, y) in enumerate(zip(a, b))]
+            yield batch.select(["a", "b"]).filter(pa.array(found, pa.bool_()))
+
+    both = pairs.join(texts.select(F.col("c").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("c").alias("b"), F.col("text").alias("tb")), "b")
+    return checkpointed(both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """Rows (doc_id, t, component_id): the smallest id reachable over links of similarity 0.8 or more; t hashes the text.
+
+    Texts without words are copies of each other. A null id links nothing and has no component. Repeated rows stay.
+    """
+    own = docs.select("doc_id", F.xxhash64("text").alias("t"), "text")
+    rows = checkpointed(own.mapInArrow(classed, "doc_id long, t long, c long, slot long, n long"))
+    hot = rows.where("slot IS NOT NULL").groupBy("slot").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "slot").limit(MOST_HOT).collect()
+    rows = rows.where("slot IS NULL").select("doc_id", "t", "c")
+    known = own.where("doc_id IS NOT NULL")
+    keys = prefixes(known, [(r["slot"], r["n"]) for r in hot])
+    lists = checkpointed(keys.repartition("key").sortWithinPartitions("key", "c").mapInArrow(met, "m array<struct<c: long, n: long>>").distinct())
+
+    first = rows.where("doc_id IS NOT NULL").groupBy("c").agg(F.min(F.struct("doc_id", "t")).alias("r")).select("c", F.col("r.doc_id").alias("i"), F.col("r.t").alias("h"))
+    wanted = lists.select(F.explode("m.c").alias("c")).distinct().join(first, "c")
+    texts = checkpointed(known.join(wanted, F.expr("doc_id = i AND t = h")).select("c", "text"))
+
+    pairs = checkpointed(lists.select(F.expr("m[0] AS x"), F.explode("m").alias("y")).where(f"x.c <> y.c AND {FITS}").selectExpr("x.c AS a", "y.c AS b").distinct())
+    links = confirmed(pairs, texts)
+    joined = components(links)
+    member = lists.select(F.xxhash64("m").alias("list"), F.explode("m").alias("x")).join(joined, F.expr("x.c = node"), "left").selectExpr("list", "x.c AS c", "x.n AS n", "coalesce(component, x.c) AS k")
+    apart = member.groupBy("list").agg(F.collect_set(F.struct("c", "n", "k")).alias("m"), F.min("k").alias("p"), F.max("k").alias("q")).where("p <> q").select("m")
+    rest = apart.select("m", F.explode("m").alias("x")).select("x", F.explode(F.expr(f"filter(m, y -> y.c > x.c AND y.k <> x.k AND {FITS})")).alias("y")).selectExpr("x.c AS a", "y.c AS b").distinct()
+    rest = checkpointed(rest.join(pairs, ["a", "b"], "left_anti"))
+    if not rest.isEmpty():
+        joined = components(links.union(confirmed(rest, texts)))
+    named = checkpointed(rows.join(joined, F.expr("c = node"), "left").selectExpr("doc_id", "t", "coalesce(component, c) AS k"))
+    least = named.where("doc_id IS NOT NULL").groupBy("k").agg(F.min("doc_id").alias("component_id")).withColumnRenamed("k", "g")
+    return named.join(least, F.expr("k = g"), "left").select("doc_id", "t", "component_id")

@@ -1,0 +1,54 @@
+import random
+
+import corpus_pipeline
+from samewise.llm import near_sets
+from tests.llm.fixtures import documents
+from tests.llm.test_op5_op6 import least_reachable
+
+
+def brute_set(t):
+    w = (t or "").encode().lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set()
+
+
+def brute_components(rows):
+    sets = [(i, brute_set(t)) for i, t in rows if i is not None]
+    alike = lambda a, b: a == b or 5 * len(a & b) >= 4 * len(a | b)
+    return least_reachable({i for i, _ in sets}, [(i, j) for i, a in sets for j, b in sets if i < j and alike(a, b)])
+
+
+def edited(r, n_copies, first):
+    line = " ".join(f"common{i}" for i in range(8))
+    rows = []
+    for g in range(n_copies):
+        words = [f"w{r.randint(0, 500)}" for _ in range(r.randint(6, 300))]
+        for k in range(r.randint(1, 8)):
+            own = list(words)
+            for _ in range(r.randint(0, max(1, len(own) // 30))):
+                own[r.randrange(len(own))] = f"x{r.randint(0, 10**6)}"
+            rows.append((first + 10 * g + k, line + "\n" + " ".join(own)))
+    return rows
+
+
+def test_near_copies_against_brute_force(spark):
+    r = random.Random(3)
+    rows = edited(r, 60, 0) + [(2000, None), (2001, ""), (2002, "one"), (2003, "one"), (2004, "one two three four five")]
+    r.shuffle(rows)
+    docs = documents(spark, [(i, t, "en", "s") for i, t in rows], extra=False)
+    got = {x["doc_id"]: x["component_id"] for x in near_sets.near_duplicates(docs).collect()}
+    want = brute_components(rows)
+    assert got == want
+    assert len(set(want.values())) < len(want) - 30
+
+
+def test_stage_drops_copies_that_fingerprints_three_bits_apart_miss(spark):
+    from samewise.llm.simhash import fingerprint
+
+    r = random.Random(5)
+    rows = edited(r, 40, 0)
+    want = {i for i, c in brute_components(rows).items() if i == c}
+    fps = {i: fingerprint(t) for i, t in rows}
+    narrow = least_reachable(fps, [(a, b) for a in fps for b in fps if (fps[a] ^ fps[b]).bit_count() <= 3])
+    assert {i for i, c in narrow.items() if i == c} - want
+    docs = documents(spark, [(i, t, "en", "s") for i, t in rows], extra=False)
+    assert {x["doc_id"] for x in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == want
