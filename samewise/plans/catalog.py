@@ -441,13 +441,13 @@ def cluster_rule(spark, sf):
 
 @query()
 def gbt_score(spark, sf):
-    d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
+    d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left")
     t = F.col("text")
     shapes = {"n_words": F.size(F.split(t, " ")), "n_chars": F.length(t), "marks": F.length(F.regexp_replace(t, "[^#*$%&!|]", "")) / F.greatest(F.length(t), F.lit(1)), "upper": F.length(F.regexp_replace(t, "[^A-Z]", "")) / F.greatest(F.length(t), F.lit(1)), "rare": F.when(F.length(t) > 2000, F.lit(1.0))}
     rows = d.select("doc_id", F.col("quality").alias("label"), *[c.alias(n) for n, c in shapes.items()]).withColumn("source1_entity_id", F.concat(F.lit("S1-"), F.col("doc_id").cast("string"))).withColumn("cand_id", F.col("source1_entity_id"))
     held = model.held_out(F.col("source1_entity_id"))
-    fitted = model.PairModel.fit(rows.where(~held), list(shapes), rounds=10, depth=3)
-    return fitted.transform(rows.where(held)).select("doc_id", "label", "prob")
+    fitted = model.PairModel.fit(rows.where(~held & F.col("label").isNotNull()), list(shapes))
+    return fitted.transform(rows.withColumn("held_out", held)).select("doc_id", "label", "held_out", "prob")
 
 
 # --- decisions ------------------------------------------------------------------------------------------------
