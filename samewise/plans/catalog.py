@@ -509,7 +509,7 @@ def gamma_grid(spark, sf):
 @query()
 def tuned_knobs(spark, sf):
     links, entities = truth(spark, sf)
-    knobs, score = decide.tune(scored_pairs(spark, sf), entities, links, [0.2, 0.4, 0.6, 0.8], [0.0, 0.5, 0.9])
+    knobs, score = decide.tune(kept(scored_pairs(spark, sf)), entities, links)
     return spark.createDataFrame([(knobs.tau_empty, knobs.tau_abs, knobs.alpha, knobs.one_to_one, score)], "tau_empty double, tau_abs double, alpha double, one_to_one boolean, macro_f double")
 
 
