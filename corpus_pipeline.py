@@ -26,11 +26,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-copies (5-word shingles, similarity 0.8 or more), the document with the smallest id; of rows with one id, one. Rows without an id stay."""
-    groups = near_sets.near_duplicates(docs).where("doc_id IS NOT NULL")
-    odd = groups.groupBy("doc_id").agg(F.min("component_id").alias("first"), F.count("*").alias("n")).where("n > 1 OR first <> doc_id").select(F.col("doc_id").alias("id"), "first", "n")
-    marked = docs.select(*COLUMNS).join(odd, F.expr("doc_id = id"), "left")
-    repeated = marked.where("n > 1 AND first = doc_id").select(*COLUMNS).dropDuplicates(["doc_id"])
+    """Of each group of near-copies (5-word shingles, similarity 0.8 or more), the document with the smallest id, once. Rows of one id are told apart by their text. Rows without an id stay."""
+    groups = near_sets.near_duplicates(docs).where("doc_id IS NOT NULL").groupBy("doc_id", "t", "component", "component_id").agg(F.count("*").alias("n"))
+    first = groups.where("doc_id = component_id").groupBy("component").agg(F.min("t").alias("first"))
+    odd = groups.join(first, "component").selectExpr("doc_id AS id", "t", "n", "doc_id = component_id AND t = first AS stays").where("n > 1 OR NOT stays")
+    marked = docs.select(*COLUMNS).join(odd, F.expr("doc_id = id AND xxhash64(text) = t"), "left")
+    repeated = marked.where("stays").select(*COLUMNS).dropDuplicates(["doc_id", "text"])
     return marked.where("id IS NULL").select(*COLUMNS).unionByName(repeated)
 
 

@@ -140,7 +140,8 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, t, component_id): the smallest id reachable over links of similarity 0.8 or more; t hashes the text.
+    """Rows (doc_id, t, component, component_id): the smallest id reachable over links of similarity 0.8 or more; t hashes the text.
+    Where ids repeat, components can share their smallest id; `component` tells them apart.
 
     Texts without words are copies of each other. A null id links nothing and has no component. Repeated rows stay.
     """
@@ -167,4 +168,4 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         joined = components(links.union(confirmed(rest, texts)))
     named = checkpointed(rows.join(joined, F.expr("c = node"), "left").selectExpr("doc_id", "t", "coalesce(component, c) AS k"))
     least = named.where("doc_id IS NOT NULL").groupBy("k").agg(F.min("doc_id").alias("component_id")).withColumnRenamed("k", "g")
-    return named.join(least, F.expr("k = g"), "left").select("doc_id", "t", "component_id")
+    return named.join(least, F.expr("k = g"), "left").select("doc_id", "t", F.col("k").alias("component"), "component_id")

@@ -52,3 +52,11 @@ def test_stage_drops_copies_that_fingerprints_three_bits_apart_miss(spark):
     assert {i for i, c in narrow.items() if i == c} - want
     docs = documents(spark, [(i, t, "en", "s") for i, t in rows], extra=False)
     assert {x["doc_id"] for x in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == want
+
+
+def test_rows_of_one_id_are_judged_by_their_own_text(spark):
+    text = {k: " ".join(f"{k}{i}" for i in range(60)) for k in "abc"}
+    rows = [(3, text["a"]), (7, text["a"]), (7, text["b"]), (7, text["b"]), (7, text["c"]), (7, text["c"] + " more"), (None, text["a"])]
+    docs = documents(spark, [(i, t, "en", "s") for i, t in rows], extra=False)
+    got = sorted((r["doc_id"] or 0, r["text"].removesuffix(" more")) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
+    assert got == [(0, text["a"]), (3, text["a"]), (7, text["b"]), (7, text["c"])]
