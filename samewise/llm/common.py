@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -63,6 +64,42 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 4 <
         yield batch.slice(start)
 
 
+class Memo:
+    """A bounded memo of two generations: when the younger is full, it takes the place of the older, so what is often asked for stays."""
+
+    def __init__(self, most: int) -> None:
+        self.most, self.young, self.old = most // 2, {}, {}
+
+    def known(self, keys: list[str]) -> list[bytes | None]:
+        found, young, old = list(map(self.young.get, keys)), self.young, self.old
+        for i, value in enumerate(found):
+            if value is None and (value := old.get(keys[i])) is not None:
+                found[i] = young[keys[i]] = value
+        return found
+
+    def add(self, keys: Iterable[str], values: Iterable[bytes]) -> None:
+        self.young.update(zip(keys, values))
+        if len(self.young) > self.most:
+            self.young, self.old = {}, self.young
+
+
+def gathered(entries: list[bytes], places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The entries (numbers of 32 bits) at the places, one after another, and where each of them ends."""
+    size = np.fromiter(map(len, entries), np.int64, len(entries)) // 4
+    first = np.cumsum(size) - size
+    own = size[places]
+    ends = np.cumsum(own)
+    pool = np.frombuffer(b"".join(entries), "<u4")
+    return pool[np.repeat(first[places] - (ends - own), own) + np.arange(int(own.sum()))], ends
+
+
+def split_up(texts: list[str], by: str) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct parts of the texts between `by`, the place of every part among them, and where each text's parts end."""
+    lists = pc.split_pattern(pa.array(texts, pa.string()), by)
+    parts = lists.flatten().dictionary_encode()
+    return parts.dictionary.to_numpy(zero_copy_only=False).tolist(), parts.indices.to_numpy(), lists.offsets.to_numpy()[1:]
+
+
 def quoted(text: str) -> str:
     """A SQL string constant."""
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"

@@ -11,6 +11,7 @@ within their length, which is counted in salted parts.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -20,9 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, pieces
+from .common import Memo, checkpointed, gathered, pieces, split_up
 
-#: Bound of the memo of one Python worker, in entries; a full memo is emptied.
+#: Bound of the memo of one Python worker, in entries.
 MOST_WORDS = 600_000
 
 
@@ -76,18 +77,20 @@ class WordIds:
     """Ids of whole texts by a tokenizers file; words between white space are encoded once while in the memo.
 
     White space is what the tokenizer's own pre-tokenizer drops, so no token reaches over it, and a
-    text's ids are those of its words. It also splits letters from the marks after them, so new words
-    are looked up as letters and marks, and letters not seen yet are encoded together: each run of
-    letters ends with the one token that has the end-of-word suffix. Where a file does not split
-    so, whole texts are encoded.
+    text's ids are those of its words. It also splits letters from marks after them, so words are cut there, and
+    words of letters alone that are new are encoded together: each ends with the one token that
+    has the end-of-word suffix. Latin words, whose lower case has no exceptions, pass the normaliser by.
+    Where a file does not split so, whole texts are encoded.
     """
 
-    MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
+    MARK = re.compile(r"[!-&(-/:-@[-`{-~](?<=[^\W_].)[!-&(-/:-@[-`{-~]*(?=[ \n]|\Z)")
 
     def __init__(self, path: str) -> None:
         import json
+        import os
 
-        from tokenizers import Tokenizer
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         conf = json.loads(self.tokenizer.to_str())
@@ -98,58 +101,52 @@ class WordIds:
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if suffix and t.endswith(suffix)]] = True
-        self.memo: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-
-    def ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-
-    def part(self, text: str) -> bytes:
-        known = self.parts.get(text)
-        if known is None:
-            known = self.parts[text] = self.ids(text).tobytes()
-        return known
-
-    def learn(self, words: set[str]) -> None:
-        """Puts the words into the memo."""
-        if len(self.memo) + len(words) > MOST_WORDS:
-            self.memo.clear()
-            words = set(words)
-        if len(self.parts) > MOST_WORDS:
-            self.parts.clear()
-        split = {}
-        for w in words:
-            letters = w.rstrip(self.MARKS)
-            if letters.isalpha() and letters.lower().isalpha():
-                split[w] = letters.lower() if letters.isascii() else letters, w[len(letters) :]
-            else:
-                self.memo[w] = self.ids(w).tobytes()
-        new = list({letters for letters, _ in split.values()}.difference(self.parts))
-        for a in range(0, len(new), 2000):
-            some = new[a : a + 2000]
-            ids = self.ids(" ".join(some))
-            ends = np.flatnonzero(self.ends[ids]) + 1
-            if len(ends) == len(some) and ends[-1] == len(ids):
-                raw, at = ids.tobytes(), 0
-                for w, end in zip(some, (4 * ends).tolist()):
-                    self.parts[w] = raw[at:end]
-                    at = end
-        for w, (letters, marks) in split.items():
-            self.memo[w] = self.part(letters) + (self.part(marks) if marks else b"")
-
-    def batch(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit numbers."""
+        self.bare = Tokenizer(self.tokenizer.model)
+        self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.level = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(128, 0x180)}
+        normal = [x["type"] for x in (conf["normalizer"] or {}).get("normalizers", [])]
+        self.plain = normal == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in steps] == ["Split", "ByteLevel"] and not steps[1]["add_prefix_space"]
+        self.memo = Memo(MOST_WORDS)
+
+    @staticmethod
+    def of(tokenizer, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encoded(self, words: list[str]) -> list[bytes]:
+        """Ids of each of some distinct words, as bytes."""
+        known: dict[str, bytes] = {}
+        letters = [w for w in words if w.isalpha()]
+        lower = {w: w.lower() if w.isascii() else w.lower().translate(self.level) for w in letters if self.plain and (w.isascii() or max(w) < "\u0180" and "\u0130" not in w)}
+        for tokenizer, own in ((self.bare, list(set(lower.values()))), (self.tokenizer, [w for w in letters if w not in lower])):
+            for a in range(0, len(own), 2000):
+                some = own[a : a + 2000]
+                (ids,) = self.of(tokenizer, [" ".join(some)])
+                at = np.append(0, 4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+                if len(at) == len(some) + 1 and at[-1] == 4 * len(ids):
+                    raw = ids.tobytes()
+                    known.update(zip(some, map(raw.__getitem__, map(slice, at, at[1:]))))
+        found = [known.get(lower.get(w, w)) for w in words]
+        rest = [i for i, ids in enumerate(found) if ids is None]
+        for i, ids in zip(rest, self.of(self.tokenizer, [words[i] for i in rest])):
+            found[i] = ids.tobytes()
+        return found
+
+    def batch(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after another, as little-endian unsigned 32-bit numbers, and where each text ends."""
         if not self.by_word:
-            return [self.ids(t or "").tobytes() for t in texts]
-        out, words = [], [(t or "").replace("\n", " ").split(" ") for t in texts]
-        for a in range(0, len(words), 256):
-            some = words[a : a + 256]
-            new = set().union(*some).difference(self.memo)
-            if len(self.memo) + len(new) > MOST_WORDS:
-                new = set().union(*some)
-            self.learn(new)
-            out += [b"".join(map(self.memo.__getitem__, w)) for w in some]
-        return out
+            found = self.of(self.tokenizer, [t or "" for t in texts])
+            return np.concatenate([np.zeros(0, "<u4"), *found]), np.cumsum([0, *map(len, found)])[1:]
+        words, places, ends = split_up([self.MARK.sub(r" \g<0>", t or "").replace("\n", " ") for t in texts], " ")
+        known = self.memo.known(words)
+        new = [i for i, ids in enumerate(known) if ids is None]
+        names = [words[i] for i in new]
+        encoded = self.encoded(names)
+        for i, ids in zip(new, encoded):
+            known[i] = ids
+        self.memo.add(names, encoded)
+        ids, after = gathered(known, places)
+        return ids, np.append(0, after)[ends]
 
 
 @lru_cache(maxsize=2)
@@ -162,10 +159,11 @@ def cut(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = word_ids(tokenizer), np.array([end_id], "<u4").tobytes()
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", 8 << 20):
             take, out = [], []
-            for row, ids in enumerate(encode.batch(batch.column("text").to_pylist())):
-                ids += end
+            every, ends = encode.batch(batch.column("text").to_pylist())
+            for row, (begin, until) in enumerate(zip(np.append(0, ends), ends)):
+                ids = every[begin:until].tobytes() + end
                 n = len(ids) // 4
                 for a in range(0, n, capacity):
                     take.append(row)

@@ -14,6 +14,7 @@ memo; a text whose model has pieces that reach over spaces is one segment.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -22,13 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces
+from .common import Memo, gathered, pieces, split_up
 
 SPACE = "▁"
-#: Bounds of the memos of one Python worker, in entries; a full memo is emptied.
-MOST_SEGMENTS, MOST_PAIRS, LONGEST_KEPT = 200_000, 300_000, 64
+#: Bounds of the memos of one Python worker, in entries; a full memo of pairs is emptied.
+MOST_SEGMENTS, MOST_PAIRS, LONGEST_KEPT = 500_000, 300_000, 64
 #: In the table, stands for a character that no piece has.
 UNKNOWN = -2
+#: Characters that mean something in a replacement pattern or are looked for in texts.
+SPECIAL = "\\,.;:!?"
 
 
 class PieceTable:
@@ -47,14 +50,19 @@ class PieceTable:
         self.bytes = {int(self.text[i][3:5], 16): i for i in range(n) if sp.is_byte(i)}
         self.unknown = sp.unk_id()
         self.may_cut = not any(a != SPACE and b == SPACE for p in self.id for a, b in zip(p, p[1:]))
-        self.segments = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+") if self.may_cut else re.compile("(?s).+")
+        # marks that no piece has after a letter or digit; a text may be cut before them as before a space
+        inside = {b for p in self.id for a, b in zip(p, p[1:]) if a.isalnum()}
+        marks = "".join(c for c in ",.;:!?" if c not in inside) if self.may_cut else ""
+        self.mark = re.compile(rf"[{re.escape(marks)}](?<=[^\W_].)(?={SPACE}|\Z)") if marks else None
+        self.segments = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
         self.automaton = ahocorasick.Automaton()
         for p, i in self.id.items():
             if len(p) == 1 or self.merged(p) == [p]:  # a piece that its own text never gives can't be a token
                 self.automaton.add_word(p, (i, len(p)))
         self.automaton.make_automaton()
-        self.fits: dict[tuple[int, int], bool] = {}
-        self.memo: dict[str, bytes] = {}
+        self.fits: dict[int, bool] = {}
+        self.memo = Memo(MOST_SEGMENTS)
+        self.length = list(map(len, self.text))
         raw = [b"" if sp.is_control(i) else bytes([int(self.text[i][3:5], 16)]) if sp.is_byte(i) else " ⁇ ".encode() if sp.is_unknown(i) else self.text[i].replace(SPACE, " ").encode() for i in range(n)]
         self.size = np.array([len(x) for x in raw], np.int64)
         self.start = np.cumsum(self.size) - self.size
@@ -72,48 +80,61 @@ class PieceTable:
 
     def may_follow(self, a: int, b: int) -> bool:
         """Whether the text of the two tokens encodes to just them."""
-        known = self.fits.get((a, b))
-        if known is None:
-            if len(self.fits) >= MOST_PAIRS:
-                self.fits.clear()
-            x, y = self.text[a], self.text[b]
-            known = self.fits[a, b] = self.merged(x + y) == [x, y]
+        if len(self.fits) >= MOST_PAIRS:
+            self.fits.clear()
+        x, y = self.text[a], self.text[b]
+        known = self.fits[a << 24 | b] = self.merged(x + y) == [x, y]
         return known
 
     def table(self, text: str) -> list[int]:
-        """For each prefix but the empty one, the last token of its encoding (UNKNOWN: a character of no piece)."""
-        last = [UNKNOWN] * (len(text) + 1)
-        start = [0] * (len(text) + 1)
+        """For each prefix, the last token of its encoding (UNKNOWN: no text, or a character of no piece)."""
+        last, known = [UNKNOWN] * (len(text) + 1), self.fits.get
         for end, (token, length) in self.automaton.iter(text):
-            at = end + 1 - length
-            if last[end + 1] == UNKNOWN and (at == 0 or last[at] == UNKNOWN or self.may_follow(last[at], token)):
-                last[end + 1], start[end + 1] = token, at
-        return last[1:]
+            if last[end + 1] == UNKNOWN:
+                before = last[end + 1 - length]
+                if before != UNKNOWN:
+                    fits = known(before << 24 | token)
+                    if not (self.may_follow(before, token) if fits is None else fits):
+                        continue
+                last[end + 1] = token
+        return last
 
     def segment_ids(self, text: str) -> bytes:
         """Ids of one segment as little-endian int32."""
-        known = self.memo.get(text)
-        if known is not None:
-            return known
-        last, out, i = self.table(text), [], len(text)
+        last, length, out, i = self.table(text), self.length, [], len(text)
         while i:
-            token = last[i - 1]
+            token = last[i]
             if token == UNKNOWN:
                 out += [self.bytes[b] for b in reversed(text[i - 1].encode())] if self.bytes else [self.unknown]
                 i -= 1
             else:
                 out.append(token)
-                i -= len(self.text[token])
-        ids = np.array(out[::-1], "<i4").tobytes()
-        if len(text) <= LONGEST_KEPT:
-            if len(self.memo) >= MOST_SEGMENTS:
-                self.memo.clear()
-            self.memo[text] = ids
-        return ids
+                i -= length[token]
+        return array("i", out[::-1]).tobytes()
+
+    def cut(self, text: str, by: str) -> str:
+        """The normalised text with `by` between the segments."""
+        if not self.may_cut:
+            return text
+        text = text.replace(SPACE, by + SPACE) if SPACE + SPACE not in text else by.join(self.segments.findall(text))
+        return self.mark.sub(rf"{by}\g<0>", text) if self.mark else text
+
+    def encode_all(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after another, and where each text ends; each distinct segment is encoded once."""
+        whole = [self.library.normalize(t) if t else "" for t in texts]
+        by = next(c for c in map(chr, range(1, 0xD800)) if c not in SPECIAL and not any(c in t for t in whole))
+        segments, places, ends = split_up([self.cut(t, by) for t in whole], by)
+        known = self.memo.known(segments)
+        new = [i for i, ids in enumerate(known) if ids is None]
+        for i in new:
+            known[i] = self.segment_ids(segments[i])
+        short = [i for i in new if len(segments[i]) <= LONGEST_KEPT]
+        self.memo.add([segments[i] for i in short], [known[i] for i in short])
+        ids, after = gathered(known, places)
+        return ids.view("<i4"), np.append(0, after)[ends]
 
     def encode(self, text: str | None) -> np.ndarray:
-        text = self.library.normalize(text) if text else ""
-        return np.frombuffer(b"".join(map(self.segment_ids, self.segments.findall(text))), "<i4")
+        return self.encode_all([text])[0]
 
     def decode(self, ids: np.ndarray, at_once: int = 1 << 20) -> str:
         """The text of the ids; the space that encoding puts first is taken off again."""
@@ -146,10 +167,10 @@ def encode_decode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = piece_table(model_file)
         for batch in pieces(batches, "text"):
-            ids = [codec.encode(t) for t in batch.column("text").to_pylist()]
-            ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-            flat = pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(pa.array(ends), flat), pa.array(map(codec.decode, ids), pa.string())], ["id", "ids", "decoded"])
+            ids, ends = codec.encode_all(batch.column("text").to_pylist())
+            ends = np.append(0, ends).astype(np.int32)
+            decoded = pa.array([codec.decode(ids[a:b]) for a, b in zip(ends, ends[1:])], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids)), decoded], ["id", "ids", "decoded"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
