@@ -49,6 +49,11 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def small(df: DataFrame, most_rows: int = 1 << 18) -> DataFrame:
+    """The right side of an equi-join, of a few numbers a row: broadcast if it has few rows, else hashed after a shuffle, so that the other side is never sorted."""
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df.hint("shuffle_hash")
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of the batches whose `column` holds about `most_bytes` bytes each (one row at least)."""
     for batch in batches:

@@ -83,7 +83,8 @@ class WordIds:
     Where a file does not split so, whole texts are encoded.
     """
 
-    MARK = re.compile(r"[!-&(-/:-@[-`{-~](?<=[^\W_].)[!-&(-/:-@[-`{-~]*(?=[ \n]|\Z)")
+    #: Marks after a Latin letter or digit and before a space. Elsewhere, lower case or normal form can end in a combining mark.
+    MARK = re.compile(r"[!-&(-/:-@[-`{-~](?<=[A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f].)[!-&(-/:-@[-`{-~]*(?=[ \n]|\Z)")
 
     def __init__(self, path: str) -> None:
         import json
@@ -107,6 +108,7 @@ class WordIds:
         self.level = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(128, 0x180)}
         normal = [x["type"] for x in (conf["normalizer"] or {}).get("normalizers", [])]
         self.plain = normal == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in steps] == ["Split", "ByteLevel"] and not steps[1]["add_prefix_space"]
+        self.added = [t["content"] for t in conf["added_tokens"]]
         self.memo = Memo(MOST_WORDS)
 
     @staticmethod
@@ -137,7 +139,8 @@ class WordIds:
         if not self.by_word:
             found = self.of(self.tokenizer, [t or "" for t in texts])
             return np.concatenate([np.zeros(0, "<u4"), *found]), np.cumsum([0, *map(len, found)])[1:]
-        words, places, ends = split_up([self.MARK.sub(r" \g<0>", t or "").replace("\n", " ") for t in texts], " ")
+        texts = [t if any(map(t.__contains__, self.added)) else self.MARK.sub(r" \g<0>", t) for t in (t or "" for t in texts)]
+        words, places, ends = split_up([t.replace("\n", " ") for t in texts], " ")
         known = self.memo.known(words)
         new = [i for i, ids in enumerate(known) if ids is None]
         names = [words[i] for i in new]

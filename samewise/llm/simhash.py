@@ -3,13 +3,20 @@
 Fingerprints at most `radius` bits apart must agree on one of a few sets of bits (of blocks + radius
 equal blocks, on some `blocks` of them), so classes of equal fingerprints are dealt by those bits.
 Where they meet they are stored as bit planes, 64 fingerprints to a word of each plane; the distances
-of a fingerprint to 64 others grow together in two counter planes and one that marks more than three,
-fed by carry-save adders two bit planes at a time. Blocks in which every lane has passed the radius
-are abandoned. A meeting returns a spanning forest of the links it found, never its pairs.
+of a fingerprint to 64 others grow together in counter planes, fed by carry-save adders two bit planes at a
+time. The counters start so that they overflow just beyond the radius; blocks in which every lane has
+overflowed are abandoned. A meeting returns a spanning forest of the links it found, never its pairs.
+
+Texts whose word shingles are alike (near_texts) need a radius so wide that no bits need agree. They meet at
+shingles instead: in any one order of all shingles, two sets of similarity 0.8 or more share one among the first
+fifth (and one) of each. The order puts shingles that a sketch of the corpus has seen often last; it decides what
+meets, never what is found. Where texts meet, the same planes and counters compare their fingerprints, first
+with the one next to the majority of all, then with all that are not yet joined; whole sets confirm the links.
 """
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Iterator
 from itertools import accumulate, combinations
 
@@ -19,10 +26,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, components, pieces
+from .common import checkpointed, components, pieces, small
 
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 SEED, SHINGLE, RADIUS = 42, 3, 3
+#: Of near_texts: words in a shingle, least similarity as a fraction of whole numbers, and a radius beyond which one
+#: pair in ten thousand lies at most, at that very similarity (a bit then differs with a chance of 0.19 at most).
+WORDS, OVER, UNDER, WIDE = 5, 4, 5, 24
+#: Slots of the sketch of shingles, slots that a task reports at most, and members of one row of a meeting.
+SLOTS, MOST_HOT, BLOCK = 1 << 20, 20_000, 4096
+MEMBERS = "array<struct<c: long, fp: long, n: long>>"
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED, at_once: int = 1 << 16) -> int:
@@ -64,8 +77,33 @@ def planes_of(fps: np.ndarray) -> np.ndarray:
     return np.packbits(padded, axis=1, bitorder="little").view("<u8")
 
 
-def links(fps: np.ndarray, at_once: int = 256) -> Iterator[tuple[int, np.ndarray]]:
-    """For each fingerprint with any, the indices after its own of those at most RADIUS bits away."""
+class Counters:
+    """Vertical counters of many distances at once; `over` marks the lanes that have passed the radius."""
+
+    def __init__(self, radius: int, shape: tuple[int, ...]) -> None:
+        size = radius.bit_length()
+        begin = (1 << size) - 1 - radius
+        self.planes = [np.full(shape, FULL if begin >> i & 1 else 0, np.uint64) for i in range(size)]
+        self.over = np.zeros(shape, np.uint64)
+
+    def add(self, x: np.ndarray, y: np.ndarray) -> None:
+        """Counts the bits of two planes: a carry-save adder into the lowest counter plane, and its carry up the others."""
+        carry = x & y
+        x = x ^ y
+        carry |= x & self.planes[0]
+        self.planes[0] ^= x
+        for plane in self.planes[1:]:
+            more = plane & carry
+            plane ^= carry
+            carry = more
+        self.over |= carry
+
+    def keep(self, of) -> None:
+        self.planes, self.over = [p[of] for p in self.planes], self.over[of]
+
+
+def links(fps: np.ndarray, radius: int = RADIUS, at_once: int = 256) -> Iterator[tuple[int, np.ndarray]]:
+    """For each fingerprint with any, the indices after its own of those at most `radius` bits away."""
     planes = planes_of(fps)
     order = np.arange(64)
     for q0 in range(0, len(fps), at_once):
@@ -73,26 +111,22 @@ def links(fps: np.ndarray, at_once: int = 256) -> Iterator[tuple[int, np.ndarray
         words = np.arange(q0 // 64, planes.shape[1])
         flip = np.where((fps[queries][None, :] >> order[:, None].astype(np.uint64)) & np.uint64(1), FULL, np.uint64(0))
         own = planes[:, words]
-        one, two, over = (np.zeros((len(queries), len(words)), np.uint64) for _ in range(3))
+        count = Counters(radius, (len(queries), len(words)))
         for b in range(0, 64, 2):
-            x, y = own[b] ^ flip[b][:, None], own[b + 1] ^ flip[b + 1][:, None]
-            carry = x & y
-            x ^= y
-            carry |= x & one
-            one ^= x
-            over |= two & carry
-            two ^= carry
+            count.add(own[b] ^ flip[b][:, None], own[b + 1] ^ flip[b + 1][:, None])
             if b % 8 == 6:
-                live = over != FULL
+                live = count.over != FULL
                 rows, cols = live.any(1), live.any(0)
                 if not rows.any():
                     break
                 if rows.mean() < 0.75:
-                    queries, flip, one, two, over = queries[rows], flip[:, rows], one[rows], two[rows], over[rows]
+                    queries, flip = queries[rows], flip[:, rows]
+                    count.keep(rows)
                 if cols.mean() < 0.75:
-                    words, own, one, two, over = words[cols], own[:, cols], one[:, cols], two[:, cols], over[:, cols]
+                    words, own = words[cols], own[:, cols]
+                    count.keep((slice(None), cols))
         else:
-            near = ~over
+            near = ~count.over
             for i in np.flatnonzero(near.any(1)):
                 at = np.flatnonzero(near[i])
                 lanes = np.flatnonzero(np.unpackbits(near[i, at].view(np.uint8), bitorder="little"))
@@ -102,6 +136,15 @@ def links(fps: np.ndarray, at_once: int = 256) -> Iterator[tuple[int, np.ndarray
                     yield int(queries[i]), found
 
 
+def within(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
+    """Whether a[i] and b[i] are at most `radius` bits apart, 64 pairs to a word."""
+    x = planes_of(a) ^ planes_of(b)
+    count = Counters(radius, x.shape[1:])
+    for i in range(0, 64, 2):
+        count.add(x[i], x[i + 1])
+    return np.unpackbits((~count.over).view(np.uint8), bitorder="little")[: len(a)].astype(bool)
+
+
 def forest(ids: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links (a, b) that join just the ids whose fingerprints are linked, each to the least id of its set."""
     order = np.argsort(ids, kind="stable")
@@ -162,3 +205,251 @@ def near_duplicates(docs: DataFrame, per_bin: int = 512, most: int = 2048, id_co
 
 def as_hex(fp: str = "fp"):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
+
+
+def shingles(text: str | None) -> np.ndarray:
+    """The distinct hashes of the text's word shingles, in order; of a text of fewer words, the hash of them all."""
+    from xxhash import xxh64_intdigest
+
+    words = text.encode().lower().split() if text else []  # of bytes, these know ASCII alone
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(words)
+    starts = list(accumulate((len(w) + 1 for w in words), initial=0))
+    ends = starts[WORDS:] or starts[-1:]
+    return np.unique(np.fromiter((xxh64_intdigest(joined[i : j - 1], SEED) for i, j in zip(starts, ends)), np.uint64, len(ends)))
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return UNDER * both >= OVER * (len(a) + len(b) - both)
+
+
+def fits(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Whether sets of these sizes can be alike."""
+    return UNDER * np.minimum(n, m) >= OVER * np.maximum(n, m)
+
+
+def digest(own: np.ndarray) -> int:
+    from xxhash import xxh64_intdigest
+
+    return xxh64_intdigest(own.tobytes(), SEED) if len(own) else 0
+
+
+def majority(own: np.ndarray) -> int:
+    """64 bits: each the majority of that bit over the hashes."""
+    ones = np.unpackbits(own.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(own), bitorder="little").tobytes(), "little")
+
+
+def longs(values: list[int]) -> pa.Array:
+    return pa.array(np.array(values, np.uint64).view(np.int64))
+
+
+def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, t, c): c the digest of the set; at the end (slot, n) of the slots that the task saw most."""
+    names, seen, total = ["doc_id", "t", "c", "slot", "n"], np.zeros(SLOTS, np.int64), 0
+    for batch in pieces(batches, "text"):
+        c = []
+        for text in batch.column("text").to_pylist():
+            own = shingles(text)
+            c.append(digest(own))
+            np.add.at(seen, (own & np.uint64(SLOTS - 1)).astype(np.int64), 1)
+            total += len(own)
+        none = pa.nulls(len(c), pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("t"), longs(c), none, none], names)
+    hot = np.flatnonzero(seen >= 16 + 4 * total // SLOTS)
+    none = pa.nulls(len(hot), pa.int64())
+    yield pa.RecordBatch.from_arrays([none, none, none, pa.array(hot), pa.array(seen[hot])], names)
+
+
+def prefixes(docs: DataFrame, hot: list[tuple[int, int]]) -> DataFrame:
+    """Rows (key, c, fp, n): the shingles of each set that any set alike has a share in; its digest, fingerprint and size."""
+    slots, counts = np.array([s for s, _ in hot], np.int64), np.array([n for _, n in hot], np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often, done = np.zeros(SLOTS, np.int64), set()
+        often[slots] = counts
+        for batch in pieces(batches, "text"):
+            keys, found = [np.zeros(0, np.uint64)], []
+            for text in batch.column("text").to_pylist():
+                own = shingles(text)
+                c, n = digest(own), len(own)
+                if c in done or not n:
+                    continue
+                done.add(c)
+                keys.append(own[np.argsort(often[(own & np.uint64(SLOTS - 1)).astype(np.int64)], kind="stable")][: n + 1 + -OVER * n // UNDER])
+                found.append((c, majority(own), n))
+            size = [len(k) for k in keys[1:]]
+            columns = [np.repeat(np.array(x, np.uint64).view(np.int64), size) for x in zip(*found)] or [np.zeros(0, np.int64)] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), *map(pa.array, columns)], ["key", "c", "fp", "n"])
+
+    return docs.select("text").mapInArrow(run, "key long, c long, fp long, n long")
+
+
+def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows ordered by key and c: the members of each key that has two or more. Keys with more than BLOCK members
+    get several rows (key, part, m), the others one with a null key, and only one for all keys with the same members."""
+    from xxhash import xxh64_intdigest
+
+    left, cut, seen = np.zeros((4, 0), np.int64), (None, 0), set()
+
+    def rows(own: np.ndarray, whole: bool) -> Iterator[pa.RecordBatch]:
+        """own: the rows of one key or more, the first of which may be the rest of a key cut before."""
+        edge = np.flatnonzero(np.append(True, own[0, 1:] != own[0, :-1])) if own.shape[1] else np.zeros(0, np.int64)
+        out = []
+        for a, b in zip(edge, np.append(edge[1:], own.shape[1])):
+            key = own[0, a]
+            first = cut[1] if cut[0] == key else 0
+            if first or b - a > BLOCK or not whole:
+                out += [(key, first + i, x, min(x + BLOCK, b)) for i, x in enumerate(range(a, b, BLOCK))]
+            elif b - a > 1 and (same := xxh64_intdigest(own[1, a:b].tobytes())) not in seen:
+                seen.add(same)
+                out.append((None, 0, a, b))
+        if out:
+            at = np.concatenate([np.arange(a, b) for _, _, a, b in out])
+            ends = np.cumsum([0, *(b - a for _, _, a, b in out)])
+            member = pa.StructArray.from_arrays([pa.array(own[i, at]) for i in (1, 2, 3)], ["c", "fp", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), member)], ["key", "part", "m"])
+
+    for batch in batches:
+        if batch.num_rows:
+            left = np.hstack([left, np.array([batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)])])
+            left = left[:, np.append(True, (left[:2, 1:] != left[:2, :-1]).any(0))]
+            whole = int(np.searchsorted(left[0], left[0, -1]))
+            yield from rows(left[:, :whole], True)
+            left = left[:, whole:]
+            if whole:
+                cut = None, 0
+            while left.shape[1] > BLOCK:
+                yield from rows(left[:, :BLOCK], False)
+                cut, left = (left[0, 0], 1 + (cut[1] if cut[0] == left[0, 0] else 0)), left[:, BLOCK:]
+    yield from rows(left, True)
+
+
+def lists_of(batch: pa.RecordBatch) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Where each list of a batch begins (and the last one ends), and the fields of all members."""
+    m = batch.column("m")
+    offsets = m.offsets.to_numpy()
+    flat = m.flatten()
+    return offsets - offsets[0], [flat.field(i).to_numpy(zero_copy_only=False) for i in range(flat.type.num_fields)]
+
+
+def pairs_of(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *x]).view(np.int64)) for x in (a, b)], ["a", "b"])
+
+
+def stars(batches: Iterator[pa.RecordBatch], peels: int = 6) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b): in each list, a is the member next to the majority of the list's bits, b one within the radius.
+    Those that are left are a list again; after some rounds, each that is left goes with the first within the radius."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        offsets, (c, fp, n) = lists_of(batch)
+        fp, a, b = fp.view(np.uint64), [], []
+        at, group = np.arange(len(c)), np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+        for _ in range(peels):
+            begin = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+            size = np.diff(np.append(begin, len(group)))
+            bits = np.unpackbits(fp[at].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            middle = np.packbits(2 * np.add.reduceat(bits, begin, axis=0, dtype=np.int64) > size[:, None], axis=1, bitorder="little").view("<u8").ravel()
+            apart = np.bitwise_count(fp[at] ^ np.repeat(middle, size)).astype(np.int64)
+            center = at[np.lexsort((c[at], apart, group))[begin]]
+            own = np.repeat(center, size)
+            near = within(fp[at], fp[own], WIDE) & fits(n[at], n[own])
+            taken = near & (at != own)
+            a.append(c[own[taken]])
+            b.append(c[at[taken]])
+            left = ~near
+            at, group = at[left], group[left]
+            many = np.bincount(group, minlength=1)[group] > 1 if len(group) else np.zeros(0, bool)
+            at, group = at[many], group[many]
+            if not len(at):
+                break
+        for own in np.split(at, np.flatnonzero(group[1:] != group[:-1]) + 1) if len(at) else ():
+            new = np.ones(len(own), bool)
+            for i, found in links(fp[own], WIDE):
+                found = found[new[found] & fits(n[own[found]], n[own[i]])]
+                new[found] = False
+                a.append(np.repeat(c[own[i]], len(found)))
+                b.append(c[own[found]])
+        yield pairs_of(a, b)
+
+
+def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All pairs (a, b) of members of a list that are within the radius and in different components k."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        offsets, (c, fp, n, k) = lists_of(batch)
+        a, b = [], []
+        for own in map(slice, offsets, offsets[1:]):
+            for i, found in links(fp[own].view(np.uint64), WIDE):
+                found = found[(k[own][found] != k[own][i]) & fits(n[own][found], n[own][i])]
+                a.append(np.repeat(c[own][i], len(found)))
+                b.append(c[own][found])
+        yield pairs_of(a, b)
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, first: DataFrame) -> DataFrame:
+    """Of pairs (a, b) of classes, those alike by their whole sets. first: (c, i, h), a document (id and hash of its text) of each class.
+
+    Only texts of classes in a pair are read for this, each once; a pair's two texts meet in two joins that Spark can split.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: OrderedDict[int, np.ndarray] = OrderedDict()
+
+        def of(c: int, text: pa.Scalar) -> np.ndarray:
+            if c not in held:
+                held[c] = shingles(text.as_py())
+                if len(held) > 64:
+                    held.popitem(last=False)
+            return held[c]
+
+        for batch in batches:
+            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
+            found = [alike(of(x, batch.column("ta")[i]), of(y, batch.column("tb")[i])) for i, (x, y) in enumerate(zip(a, b))]
+            yield batch.select(["a", "b"]).filter(pa.array(found, pa.bool_()))
+
+    classes = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
+    wanted = checkpointed(classes.join(first, "c"))
+    texts = checkpointed(docs.join(small(wanted), F.expr("doc_id = i AND t = h")).groupBy("c").agg(F.min("text").alias("text")))
+    both = pairs.join(texts.select(F.col("c").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("c").alias("a"), F.col("text").alias("ta")), "a")
+    return checkpointed(both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"))
+
+
+def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows (doc_id, t, component, component_id): the smallest id reachable over links of similarity OVER / UNDER or more
+    between sets of WORDS-word shingles; t hashes the text. Where ids repeat, components can share their smallest id;
+    `component` tells them apart.
+
+    Exact but for pairs beyond the radius (see WIDE) and equal 64-bit hashes. Texts without words, null ones among
+    them, are copies of each other. A null id links nothing and has no component. Repeated rows stay; other columns go.
+    """
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text"))
+    rows = checkpointed(own.mapInArrow(classed, "doc_id long, t long, c long, slot long, n long"))
+    hot = rows.where("slot IS NOT NULL").groupBy("slot").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "slot").limit(MOST_HOT).collect()
+    rows, known = rows.where("slot IS NULL").select("doc_id", "t", "c"), own.where("doc_id IS NOT NULL")
+    keys = prefixes(known, [(r["slot"], r["n"]) for r in hot])
+    lists = checkpointed(keys.repartition("key").sortWithinPartitions("key", "c").mapInArrow(met, f"key long, part int, m {MEMBERS}").distinct())
+    first = rows.where("doc_id IS NOT NULL").groupBy("c").agg(F.min(F.struct("doc_id", "t")).alias("r")).select("c", F.col("r.doc_id").alias("i"), F.col("r.t").alias("h"))
+
+    pairs = checkpointed(lists.select("m").mapInArrow(stars, "a long, b long").groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    linked = confirmed(pairs, known, first)
+    joined = checkpointed(components(linked))
+    # lists whose members are not all in one component; parts of a key meet pairwise
+    lists = lists.select("key", "part", F.xxhash64("m").alias("own"), F.explode("m").alias("x"))
+    member = lists.join(joined, F.expr("x.c = node"), "left").select("key", "part", "own", F.expr("struct(x.c AS c, x.fp AS fp, x.n AS n, coalesce(component, x.c) AS k) AS x"))
+    apart = member.groupBy("key", "part", "own").agg(F.collect_list("x").alias("m"), F.min("x.k").alias("low"), F.max("x.k").alias("high"))
+    apart = checkpointed(apart.where("key IS NOT NULL OR low <> high").select("key", "part", "m"))
+    halves = apart.where("key IS NOT NULL")
+    crossed = halves.alias("x").join(halves.alias("y"), F.expr("x.key = y.key AND x.part < y.part")).select(F.expr("concat(x.m, y.m) AS m"))
+    rest = apart.select("m").union(crossed).mapInArrow(across, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = checkpointed(rest.join(tried, ["a", "b"], "left_anti"))
+    if not rest.isEmpty():
+        joined = components(linked.union(confirmed(rest, known, first)))
+    named = checkpointed(rows.join(joined, F.expr("c = node"), "left").selectExpr("doc_id", "t", "coalesce(component, c) AS k"))
+    least = named.where("doc_id IS NOT NULL").groupBy("k").agg(F.min("doc_id").alias("component_id")).withColumnRenamed("k", "g")
+    return named.join(least, F.expr("k = g"), "left").select(F.col("doc_id").alias(id_col), "t", F.col("k").alias("component"), "component_id")

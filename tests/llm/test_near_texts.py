@@ -1,7 +1,9 @@
 import random
 
 import corpus_pipeline
-from samewise.llm import near_sets
+import numpy as np
+import pyarrow as pa
+from samewise.llm import simhash
 from tests.llm.fixtures import documents
 from tests.llm.test_op5_op6 import least_reachable
 
@@ -35,7 +37,7 @@ def test_near_copies_against_brute_force(spark):
     rows = edited(r, 60, 0) + [(2000, None), (2001, ""), (2002, "one"), (2003, "one"), (2004, "one two three four five")]
     r.shuffle(rows)
     docs = documents(spark, [(i, t, "en", "s") for i, t in rows], extra=False)
-    got = {x["doc_id"]: x["component_id"] for x in near_sets.near_duplicates(docs).collect()}
+    got = {x["doc_id"]: x["component_id"] for x in simhash.near_texts(docs).collect()}
     want = brute_components(rows)
     assert got == want
     assert len(set(want.values())) < len(want) - 30
@@ -60,3 +62,34 @@ def test_rows_of_one_id_are_judged_by_their_own_text(spark):
     docs = documents(spark, [(i, t, "en", "s") for i, t in rows], extra=False)
     got = sorted((r["doc_id"] or 0, r["text"].removesuffix(" more")) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
     assert got == [(0, text["a"]), (3, text["a"]), (7, text["b"]), (7, text["c"])]
+
+
+def test_counters_at_any_radius():
+    r = random.Random(9)
+    base = [r.getrandbits(64) for _ in range(4)]
+    fps = np.array([b ^ sum(1 << k for k in r.sample(range(64), r.randint(0, 40))) for b in base for _ in range(60)], np.uint64)
+    for radius in (1, 3, 5, 7, 24):
+        want = {(i, j) for i in range(len(fps)) for j in range(i + 1, len(fps)) if int(fps[i] ^ fps[j]).bit_count() <= radius}
+        assert {(i, int(j)) for i, found in simhash.links(fps, radius, 64) for j in found} == want
+        assert simhash.within(fps, fps[::-1].copy(), radius).tolist() == [int(a ^ b).bit_count() <= radius for a, b in zip(fps, fps[::-1])]
+
+
+def test_large_meetings_are_cut_in_blocks(spark, monkeypatch):
+    r = random.Random(13)
+    line = " ".join(f"common{i}" for i in range(30))
+    rows = [(i, line + " " + " ".join(f"t{r.randint(0, 3)}" for _ in range(r.randint(1, 6)))) for i in range(120)]
+    rows += [(200 + i, " ".join(f"{w}{i // 40 if k % 9 else i % 40 // 2}" for k, w in enumerate(["a"] * 60))) for i in range(120)]
+    docs = documents(spark, [(i, t, "en", "s") for i, t in rows], extra=False)
+    want = brute_components(rows)
+    assert {x["doc_id"]: x["component_id"] for x in simhash.near_texts(docs).collect()} == want
+    keys = simhash.prefixes(docs.where("doc_id IS NOT NULL"), []).toPandas().sort_values(["key", "c"])
+    batches = pa.Table.from_pandas(keys, preserve_index=False).to_batches(max_chunksize=37)
+    whole = [x for b in simhash.met(iter(batches)) for x in b.to_pylist()]
+    monkeypatch.setattr(simhash, "BLOCK", 8)
+    parts = [x for b in simhash.met(iter(batches)) for x in b.to_pylist()]
+    member = lambda x: [m["c"] for m in x["m"]]
+    by_key = {}
+    for x in sorted((x for x in parts if x["key"] is not None), key=lambda x: x["part"]):
+        assert len(x["m"]) <= 8 and x["part"] == len(by_key.setdefault(x["key"], [])) 
+        by_key[x["key"]].append(member(x))
+    assert {tuple(sum(v, [])) for v in by_key.values()} | {tuple(member(x)) for x in parts if x["key"] is None} >= {tuple(member(x)) for x in whole}

@@ -4,8 +4,8 @@ import random
 import corpus_pipeline
 from samewise.llm import quality_model
 from tests.llm.fixtures import documents, write_tables
+from tests.llm.test_near_texts import brute_components
 from tests.llm.test_op3_op4 import brute_base
-from tests.llm.test_op5_op6 import brute_fingerprint, least_reachable
 
 
 def corpus(spark, path):
@@ -69,8 +69,7 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     model = quality_model.train(docs, spark.read.parquet(f"{path}/labels.parquet"))
     rows = [(i, t) for i, t in rows if model.score(quality_model.indicators(t)) >= 0.5]
-    fps = {i: brute_fingerprint(t) for i, t in rows if i is not None}
-    comp = least_reachable(fps, [(a, b) for a in fps for b in fps if (fps[a] ^ fps[b]).bit_count() <= 3])
+    comp = brute_components(rows)
     kept, seen = [], set()
     for i, t in rows:
         if i is None or comp[i] == i and i not in seen:
