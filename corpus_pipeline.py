@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from samewise.llm import near_sets, packing, quality_model, secrets, suffix_dedup
-from samewise.llm.common import remove, stored, table
+from samewise.llm import packing, quality_model, secrets, simhash, suffix_dedup
+from samewise.llm.common import checkpointed, remove, small, stored, table
 from samewise.llm.queries import tokenizer
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -26,11 +26,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-copies (5-word shingles, similarity 0.8 or more), the document with the smallest id, once. Rows of one id are told apart by their text. Rows without an id stay."""
-    groups = near_sets.near_duplicates(docs).where("doc_id IS NOT NULL").groupBy("doc_id", "t", "component", "component_id").agg(F.count("*").alias("n"))
+    """Of each group of near-copies (5-word shingles, similarity 0.8 or more), the document with the smallest id, once.
+
+    Rows of one id are told apart by their text. Rows without an id stay; a null text is an empty one here. What goes, or
+    is there more than once, is worked out from ids and hashes alone and then taken from the texts in one join.
+    """
+    groups = simhash.near_texts(docs).where("doc_id IS NOT NULL").groupBy("doc_id", "t", "component", "component_id").agg(F.count("*").alias("n"))
+    groups = checkpointed(groups)
     first = groups.where("doc_id = component_id").groupBy("component").agg(F.min("t").alias("first"))
-    odd = groups.join(first, "component").selectExpr("doc_id AS id", "t", "n", "doc_id = component_id AND t = first AS stays").where("n > 1 OR NOT stays")
-    marked = docs.select(*COLUMNS).join(odd, F.expr("doc_id = id AND xxhash64(text) = t"), "left")
+    odd = groups.join(first, "component").selectExpr("doc_id AS id", "t", "doc_id = component_id AND t = first AS stays", "n").where("n > 1 OR NOT stays")
+    marked = docs.select(*COLUMNS).join(small(checkpointed(odd.select("id", "t", "stays"))), F.expr("doc_id = id AND xxhash64(text) = t"), "left")
     repeated = marked.where("stays").select(*COLUMNS).dropDuplicates(["doc_id", "text"])
     return marked.where("id IS NULL").select(*COLUMNS).unionByName(repeated)
 
