@@ -435,10 +435,18 @@ def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     lists = checkpointed(keys.repartition("key").sortWithinPartitions("key", "c").mapInArrow(met, f"key long, part int, m {MEMBERS}").distinct())
     first = rows.where("doc_id IS NOT NULL").groupBy("c").agg(F.min(F.struct("doc_id", "t")).alias("r")).select("c", F.col("r.doc_id").alias("i"), F.col("r.t").alias("h"))
 
-    pairs = checkpointed(lists.select("m").mapInArrow(stars, "a long, b long").groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    # each class goes with the one it met that is next to most others, if that is next to more than itself: a forest of a few levels
+    met_at = lists.select("m").mapInArrow(stars, "a long, b long").groupBy("a", "b").agg(F.count("*").alias("n"))
+    met_at = checkpointed(met_at)
+    weight = checkpointed(met_at.groupBy("a").agg(F.sum("n").alias("w")))
+    ends = met_at.select("a", "b").union(met_at.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    ranked = ends.join(weight.select("a", F.struct("w", "a").alias("p")), "a").join(weight.select(F.col("a").alias("b"), "w"), "b", "left")
+    best = ranked.where(F.col("p") > F.struct(F.coalesce("w", F.lit(0)).alias("w"), F.col("b").alias("a"))).groupBy("b").agg(F.max("p").alias("p"))
+    pairs = checkpointed(best.select("p.a", "b"))
     linked = confirmed(pairs, known, first)
-    joined = checkpointed(components(linked))
-    # lists whose members are not all in one component; parts of a key meet pairwise
+    above = linked.select(F.col("b").alias("node"), F.col("a").alias("up"))
+    joined = checkpointed(above.join(linked.select(F.col("b").alias("up"), F.col("a").alias("top")), "up", "left").select("node", F.coalesce("top", "up").alias("component")))
+    # lists whose members are not all under one; parts of a key meet pairwise
     lists = lists.select("key", "part", F.xxhash64("m").alias("own"), F.explode("m").alias("x"))
     member = lists.join(joined, F.expr("x.c = node"), "left").select("key", "part", "own", F.expr("struct(x.c AS c, x.fp AS fp, x.n AS n, coalesce(component, x.c) AS k) AS x"))
     apart = member.groupBy("key", "part", "own").agg(F.collect_list("x").alias("m"), F.min("x.k").alias("low"), F.max("x.k").alias("high"))
@@ -448,8 +456,7 @@ def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rest = apart.select("m").union(crossed).mapInArrow(across, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = checkpointed(rest.join(tried, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        joined = components(linked.union(confirmed(rest, known, first)))
+    joined = components(linked if rest.isEmpty() else linked.union(confirmed(rest, known, first)))
     named = checkpointed(rows.join(joined, F.expr("c = node"), "left").selectExpr("doc_id", "t", "coalesce(component, c) AS k"))
     least = named.where("doc_id IS NOT NULL").groupBy("k").agg(F.min("doc_id").alias("component_id")).withColumnRenamed("k", "g")
     return named.join(least, F.expr("k = g"), "left").select(F.col("doc_id").alias(id_col), "t", F.col("k").alias("component"), "component_id")
