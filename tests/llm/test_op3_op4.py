@@ -109,3 +109,65 @@ def test_op3_long_texts_and_blocks():
     assert (quality_model.indicators(t) == quality_model.indicators(t)).all()
     some = quality_model.indicators(t, at_once=1 << 20)
     assert set(some) == set(quality_model.indicators(t, at_once=1000))
+
+
+def plain_indicators(t):
+    """Places of byte 3-grams, n-grams of the collapsed shape, and repeats of a word, one by one."""
+    raw, mask = (t or "").encode(), (1 << 64) - 1
+    data = b" " + raw + b" "
+    kind = [97 if 97 <= c < 123 or c >= 128 else 65 if 65 <= c < 91 else 48 if 48 <= c < 58 else c for c in data]
+    shape = [c for i, c in enumerate(kind) if i == 0 or c != kind[i - 1]]
+    out = set()
+    for source, salt, lengths in ((data, 0, (3,)), (shape, 8, (2, 3, 4, 6))):
+        for n in lengths:
+            for i in range(len(source) - n + 1):
+                h = n + salt
+                for c in source[i : i + n]:
+                    h = h * 0x100000001B3 + c & mask
+                out.add((h * 0xD6E8FEB86659FD93 & mask) >> 64 - quality_model.BITS)
+    w = raw.split()
+    for k in range(1, sum(a == b for a, b in zip(w, w[1:])).bit_length() + 1):
+        out.add(k * 0x9E3779B1 + 17 & (1 << quality_model.BITS) - 1)
+    return out
+
+
+def plain_fit(rows, label):
+    """Log-count ratios, vectors of length one, and dual coordinate descent, over dictionaries."""
+    places, size = set().union(*rows), 1 << quality_model.BITS
+    total = {y: size + sum(len(r) for r, z in zip(rows, label) if z == y) for y in (0, 1)}
+    share = {y: {p: (1 + sum(p in r for r, z in zip(rows, label) if z == y)) / total[y] for p in places} for y in (0, 1)}
+    blank = np.log(1 / total[1]) - np.log(1 / total[0])
+    ratio = collections.defaultdict(lambda: blank, {p: np.log(share[1][p]) - np.log(share[0][p]) for p in places})
+    vector = [{p: ratio[p] / np.sqrt(sum(ratio[q] ** 2 for q in r)) for p in r} for r in rows]
+    w, b, a, rng = collections.defaultdict(float), 0.0, [0.0] * len(rows), np.random.default_rng(5)
+    for _ in range(quality_model.EPOCHS):
+        for i in rng.permutation(len(rows)):
+            s, limit = 2 * label[i] - 1, quality_model.COST * len(label) / 2 / sum(z == label[i] for z in label)
+            new = min(max(a[i] - (s * (sum(w[p] * x for p, x in vector[i].items()) + b) - 1) / 2, 0.0), limit)
+            for p, x in vector[i].items():
+                w[p] += (new - a[i]) * s * x
+            b, a[i] = b + (new - a[i]) * s, new
+    return lambda r: sum(w[p] * ratio[p] for p in r) / max(np.sqrt(sum(ratio[p] ** 2 for p in r)), 1e-12) + b
+
+
+def test_op3_against_a_plain_version(spark):
+    r = random.Random(21)
+    some = [" ".join(r.choice(["alpha", "beta", "gamma", "Delta"]) + (r.choice(["!!", "#", "9"]) if i % 3 == 0 else "") for _ in range(r.randint(1, 12))) for i in range(36)] + ["", "the the the the"]
+    label = [int(i % 3 > 0) for i in range(36)] + [0, 0]
+    rows = [quality_model.indicators(t) for t in some]
+    assert [set(x.tolist()) for x in rows] == [plain_indicators(t) for t in some]
+    packed = [quality_model.packed(x) for x in rows]
+    model, margin = quality_model.fit_margin(packed, np.array(label)), plain_fit([set(x.tolist()) for x in rows], label)
+    for t in some + ["alpha 9 gamma!!", "nothing of it é"]:
+        assert abs(model.margin(quality_model.indicators(t)) - margin(plain_indicators(t))) < 1e-9
+
+
+def test_op3_bytes_of_the_fit_have_a_bound(spark):
+    dense = np.arange(0, 1 << quality_model.BITS, 3)
+    assert len(quality_model.packed(dense)) == (1 << quality_model.BITS) // 8 and (quality_model.unpacked(quality_model.packed(dense)) == dense).all()
+    docs = documents(spark, [(i, f"word{i} " * 30 + ("#!" * 9 if i % 2 else ""), "en", "s") for i in range(60)])
+    labels = spark.range(60).selectExpr("id AS doc_id", "cast(id % 2 AS int) AS quality", "0 AS toxic")
+    whole, some = quality_model.train(docs, labels), quality_model.train(docs, labels, most_bytes=6000)
+    assert np.abs(whole.weight).sum() > 0 and not np.array_equal(whole.ratio, some.ratio)
+    score = {r["doc_id"]: r["score"] for r in quality_model.scored(docs, some).collect()}
+    assert all((score[i] >= 0.5) == (i % 2) for i in range(60))
