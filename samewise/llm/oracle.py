@@ -5,21 +5,20 @@ The others are compared with brute force, the library or held-out labels in test
 
 from __future__ import annotations
 
-from .quality_rules import RULES
-
 _WORD = r"[^\x20\x09-\x0D]"
-_RATIOS = {k: ratio.replace("DIV", "//") for k, (ratio, _, _) in RULES.items()}
-_VALUES = " UNION ALL ".join(f"SELECT lang, source, '{k}' AS rule, {r} AS v FROM c WHERE n_words > 0" for k, r in _RATIOS.items())
-_FENCES = "\n UNION ALL ".join(f"SELECT lang, source, '{k}' AS rule, q1 - greatest(3 * (q3 - q1), {m}) AS low, q3 + greatest(3 * (q3 - q1), {m}) AS high, {lower} AS two FROM q WHERE rule = '{k}'" for k, (_, lower, m) in RULES.items())
-_TESTS = ", ".join(f"CASE WHEN n_words > 0 AND EXISTS (SELECT 1 FROM f WHERE f.lang IS NOT DISTINCT FROM c.lang AND f.source IS NOT DISTINCT FROM c.source AND rule = '{k}' AND ({r} > high OR two AND {r} < low)) THEN '{k}' END" for k, r in _RATIOS.items())
+#: Rule: (count, what it is a share of, scale).
+_RATIOS = {"word_length": ("word_chars", "n_words", 100), "symbols": ("n_symbols", "n_words", 10000), "dup_lines": ("n_dup_lines", "n_lines", 10000), "repeats": ("n_repeat_words", "n_words", 10000)}
+_VALUES = " UNION ALL ".join(f"SELECT lang, source, '{k}' AS rule, {scale} * {x} // greatest({of}, 1) AS v FROM c WHERE n_words > 0" for k, (x, of, scale) in _RATIOS.items())
+_PIVOT = ", ".join(f"max({side}) FILTER (rule = '{k}') AS {k}_{side}" for k in _RATIOS for side in ("low", "high"))
 
 
-def _quartiles(name: str, keys: str) -> str:
+def _fences(name: str, keys: str) -> str:
     by = f"{keys} rule"
     return f"""
 {name}_m AS (SELECT {by}, bucket, sum(n) AS n FROM sk GROUP BY ALL),
 {name}_r AS (SELECT *, sum(n) OVER (PARTITION BY {by} ORDER BY bucket ROWS UNBOUNDED PRECEDING) AS below, sum(n) OVER (PARTITION BY {by}) AS total FROM {name}_m),
-{name} AS (SELECT {by}, min(bucket) FILTER (4 * below >= total) AS q1, min(bucket) FILTER (4 * below >= 3 * total) AS q3, max(total) AS rows FROM {name}_r GROUP BY ALL)"""
+{name}_q AS (SELECT {by}, min(bucket) FILTER (100 * below >= 15 * total) AS q15, min(bucket) FILTER (2 * below >= total) AS q50, min(bucket) FILTER (100 * below >= 85 * total) AS q85, max(total)::BIGINT AS n FROM {name}_r GROUP BY ALL),
+{name} AS (SELECT {by}, n, q15 - 2 * (q50 - q15) AS low, q85 + 2 * (q85 - q50) AS high FROM {name}_q)"""
 
 
 QUALITY_RULES = rf"""
@@ -33,11 +32,17 @@ c AS MATERIALIZED (SELECT l.doc_id, lang, source, len(ws)::BIGINT AS n_words, co
   (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words, len(ls)::BIGINT AS n_lines FROM l LEFT JOIN r ON l.doc_id = r.doc_id),
 v AS ({_VALUES}),
 s AS (SELECT *, greatest(length(bin(v)) - 6, 0)::INT AS low FROM v),
-sk AS MATERIALIZED (SELECT lang, source, rule, (v >> low) << low AS bucket, count(*) AS n FROM s GROUP BY ALL),{_quartiles('own', 'lang, source,')},{_quartiles('lg', 'lang,')},{_quartiles('wh', '')},
-q AS (SELECT o.lang, o.source, o.rule, CASE WHEN o.rows >= 100 THEN o.q1 WHEN lg.rows >= 100 THEN lg.q1 ELSE wh.q1 END AS q1, CASE WHEN o.rows >= 100 THEN o.q3 WHEN lg.rows >= 100 THEN lg.q3 ELSE wh.q3 END AS q3
-  FROM own o JOIN lg ON o.lang IS NOT DISTINCT FROM lg.lang AND o.rule = lg.rule JOIN wh ON o.rule = wh.rule),
-f AS MATERIALIZED ({_FENCES}),
-t AS (SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, concat_ws(',', {_TESTS}) AS failed FROM c)
+sk AS MATERIALIZED (SELECT lang, source, rule, (v >> low) << low AS bucket, count(*) AS n FROM s GROUP BY ALL),{_fences('own', 'lang, source,')},{_fences('lg', 'lang,')},{_fences('wh', '')},
+l2 AS (SELECT lg.lang, lg.rule, (lg.n * lg.low + 100 * wh.low) / (lg.n + 100) AS low, (lg.n * lg.high + 100 * wh.high) / (lg.n + 100) AS high FROM lg JOIN wh ON lg.rule = wh.rule),
+o2 AS (SELECT o.lang, o.source, o.rule, (o.n * o.low + 100 * l2.low) / (o.n + 100) AS low, (o.n * o.high + 100 * l2.high) / (o.n + 100) AS high FROM own o JOIN l2 ON o.lang IS NOT DISTINCT FROM l2.lang AND o.rule = l2.rule),
+f AS MATERIALIZED (SELECT lang, source, {_PIVOT} FROM o2 GROUP BY lang, source),
+e AS (SELECT c.*, word_length_low * n_words / 100 AS wl, word_length_high * n_words / 100 AS wh, symbols_high * n_words / 10000 AS sh, dup_lines_high * n_lines / 10000 AS dh, repeats_high * n_words / 10000 AS rh
+  FROM c LEFT JOIN f ON c.lang IS NOT DISTINCT FROM f.lang AND c.source IS NOT DISTINCT FROM f.source),
+t AS (SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, concat_ws(',',
+  CASE WHEN n_words > 0 AND (word_chars > wh AND (word_chars - wh) * (word_chars - wh) > 9 * word_chars OR word_chars < wl AND (word_chars - wl) * (word_chars - wl) > 9 * wl) THEN 'word_length' END,
+  CASE WHEN n_words > 0 AND n_symbols > sh AND (n_symbols - sh) * (n_symbols - sh) > 9 * n_symbols THEN 'symbols' END,
+  CASE WHEN n_words > 0 AND n_dup_lines > dh AND (n_dup_lines - dh) * (n_dup_lines - dh) > 9 * n_dup_lines THEN 'dup_lines' END,
+  CASE WHEN n_words > 0 AND n_repeat_words > rh AND (n_repeat_words - rh) * (n_repeat_words - rh) > 45 * n_repeat_words THEN 'repeats' END) AS failed FROM e)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND failed = '' AS kept, failed FROM t"""
 
 SHARDING = """

@@ -1,11 +1,12 @@
 """Quality rules whose thresholds come from the corpus: quantile sketches per language and source.
 
-Each rule watches one integer ratio of a document. Its sketch is a histogram over values rounded down
-to six significant bits (a relative error below 1/32 at any size), so sketches merge by adding counts:
-those of a source give those of its language, and these the one of the corpus. A document fails a rule
-if its ratio lies beyond a fence three interquartile ranges (and a margin at least) outside the middle
-half of its language and source; groups of under `least_rows` documents use their language's fences, and
-small languages the corpus's. Nothing is collected; what is shuffled are counts per bucket.
+Each rule watches one ratio of a document. Its sketch is a histogram over values rounded down to six
+significant bits (a relative error below 1/32 at any size), so sketches merge by adding counts: those of a source
+give those of its language, and these the one of the corpus. A fence lies beyond a tail quantile of the sketch by
+a multiple of that quantile's distance from the median, so where documents spread more, more is let pass. Fences of a group are
+means of its own and its language's, weighted by its documents against PRIOR, and those of a language of its own
+and the corpus's. A document fails a rule if its count lies beyond the fence by more than counting noise (Z standard
+errors of such a count), so that short texts are not judged by one odd line. Nothing is collected; what is shuffled are counts per bucket.
 """
 
 from __future__ import annotations
@@ -21,13 +22,16 @@ from .common import checkpointed, pieces
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 SPACES = " \t\n\v\f\r"
-#: Rule: (its ratio as SQL over the counts, lower fence wanted, least distance of a fence from its quartile).
+#: Rule: (count, what it is a share of, scale of the ratio, words or lines that come at once, lower fence wanted).
 RULES = {
-    "word_length": ("100 * word_chars DIV greatest(n_words, 1)", True, 200),
-    "symbols": ("10000 * n_symbols DIV greatest(n_words, 1)", False, 1000),
-    "dup_lines": ("10000 * n_dup_lines DIV greatest(n_lines, 1)", False, 4500),
-    "repeats": ("10000 * n_repeat_words DIV greatest(n_words, 1)", False, 2000),
+    "word_length": ("word_chars", "n_words", 100, 1, True),
+    "symbols": ("n_symbols", "n_words", 10_000, 1, False),
+    "dup_lines": ("n_dup_lines", "n_lines", 10_000, 1, False),
+    "repeats": ("n_repeat_words", "n_words", 10_000, 5, False),
 }
+#: The tail quantile of a fence in hundredths, fence distance in distances of it from the median, documents that a
+#: parent's fence counts for, and standard errors by which a document must pass a fence.
+TAIL, SPREAD, PRIOR, Z = 85, 2, 100, 3
 
 
 def counts_of(text: str | None) -> tuple[int, ...]:
@@ -66,43 +70,54 @@ def sketches(rows: DataFrame) -> DataFrame:
 
     The bucket of a value is the value with all but its six leading bits cleared.
     """
-    values = F.explode(F.array(*[F.struct(F.lit(k).alias("rule"), F.expr(ratio).alias("v")) for k, (ratio, _, _) in RULES.items()]))
+    values = F.explode(F.array(*[F.struct(F.lit(k).alias("rule"), F.expr(f"{scale} * {count} DIV greatest({of}, 1)").alias("v")) for k, (count, of, scale, _, _) in RULES.items()]))
     flat = rows.where("n_words > 0").select("lang", "source", values.alias("x")).select("lang", "source", "x.rule", "x.v")
     low = "greatest(length(bin(v)) - 6, 0)"
     return flat.groupBy("lang", "source", "rule", F.expr(f"shiftleft(shiftright(v, {low}), {low})").alias("bucket")).agg(F.count("*").alias("n"))
 
 
-def quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """First and third quartile (smallest bucket with a quarter, three quarters of the rows at or below it) and rows of each group and rule."""
+def quantiles(sketch: DataFrame, keys: list[str], tail: int = TAIL) -> DataFrame:
+    """(keys, rule, low, mid, high, rows): of each group and rule, the smallest buckets with a share of 1 - tail, a half and tail of the rows at or below them."""
     merged = sketch.groupBy(*keys, "rule", "bucket").agg(F.sum("n").alias("n"))
     by = Window.partitionBy(*keys, "rule")
     runs = merged.withColumns({"below": F.sum("n").over(by.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)), "rows": F.sum("n").over(by)})
-    return runs.groupBy(*keys, "rule").agg(F.min(F.expr("CASE WHEN 4 * below >= rows THEN bucket END")).alias("q1"), F.min(F.expr("CASE WHEN 4 * below >= 3 * rows THEN bucket END")).alias("q3"), F.max("rows").alias("rows"))
+    cut = [F.min(F.expr(f"CASE WHEN 100 * below >= {share} * rows THEN bucket END")).alias(name) for name, share in (("low", 100 - tail), ("mid", 50), ("high", tail))]
+    return runs.groupBy(*keys, "rule").agg(*cut, F.max("rows").alias("rows"))
 
 
-def fences(rows: DataFrame, spread: int = 3, least_rows: int = 100) -> DataFrame:
-    """(lang, source, <rule>_low, <rule>_high) for every group; a group's own sketch, its language's or the corpus's."""
+def fences(rows: DataFrame, tail: int = TAIL, spread: int = SPREAD, prior: int = PRIOR) -> DataFrame:
+    """(lang, source, <rule>_low, <rule>_high) for every group."""
     sketch = checkpointed(sketches(rows))
-    own, lang, whole = quartiles(sketch, ["lang", "source"]), quartiles(sketch, ["lang"]), quartiles(sketch, [])
-    q = own.alias("o").join(lang.alias("l"), F.expr("o.lang <=> l.lang AND o.rule = l.rule")).join(whole.alias("w"), F.expr("o.rule = w.rule"))
-    level = "CASE WHEN o.rows >= {0} THEN o.{1} WHEN l.rows >= {0} THEN l.{1} ELSE w.{1} END"
-    q = q.select("o.lang", "o.source", "o.rule", *[F.expr(level.format(least_rows, c)).alias(c) for c in ("q1", "q3")])
-    bound = {k: (f"q1 - greatest({spread} * (q3 - q1), {margin})", f"q3 + greatest({spread} * (q3 - q1), {margin})") for k, (_, _, margin) in RULES.items()}
-    ends = [F.max(F.expr(f"CASE WHEN rule = '{k}' THEN {e} END")).alias(f"{k}_{side}") for k, (_, lower, _) in RULES.items() for side, e in zip(("low", "high"), bound[k]) if lower or side == "high"]
-    return q.groupBy("lang", "source").agg(*ends)
-
-
-def quality_rules(docs: DataFrame, spread: int = 3, least_rows: int = 100, **columns: str) -> DataFrame:
+    ends = [f"low - {spread} * (mid - low) AS low", f"high + {spread} * (high - mid) AS high"]
+    own, lang, whole = (quantiles(sketch, keys, tail).selectExpr(*keys, "rule", "rows", *ends) for keys in (["lang", "source"], ["lang"], []))
+    mean = "(o.rows * o.{0} + {1} * p.{0}) / (o.rows + {1}) AS {0}"
+    both = [mean.format(c, prior) for c in ("low", "high")]
+    lang = lang.alias("o").join(whole.alias("p"), F.expr("o.rule = p.rule")).selectExpr("o.lang", "o.rule", *both)
+    own = own.alias("o").join(lang.alias("p"), F.expr("o.lang <=> p.lang AND o.rule = p.rule")).selectExpr("o.lang", "o.source", "o.rule", *both)
+    found = [F.max(F.expr(f"CASE WHEN rule = '{k}' THEN {side} END")).alias(f"{k}_{side}") for k, rule in RULES.items() for side in ("low", "high") if rule[4] or side == "high"]
+    return own.groupBy("lang", "source").agg(*found)
+
+
+def fails(rule: str, z: int = Z) -> str:
+    """SQL for whether a document with words fails a rule, given the columns of fences()."""
+    count, of, scale, unit, lower = RULES[rule]
+    beyond = "({0} {1} {2} AND ({0} - {2}) * ({0} - {2}) > {3} * {4})"
+    high, low = f"{rule}_high * {of} / {scale}", f"{rule}_low * {of} / {scale}"
+    over = beyond.format(count, ">", f"({high})", z * z * unit, count)
+    return f"n_words > 0 AND ({over}" + (f" OR {beyond.format(count, '<', f'({low})', z * z * unit, f'({low})')}" if lower else "") + ")"
+
+
+def quality_rules(docs: DataFrame, tail: int = TAIL, spread: int = SPREAD, prior: int = PRIOR, z: int = Z, **columns: str) -> DataFrame:
     """Every document with its counts, `base_failed`, `failed` (names of the rules it breaks) and `kept`.
 
     Null texts have no words and fail the base rule; null languages and sources are groups of their
-    own; repeated rows count each time and stay; other columns go, whatever their names. The counts are
-    checkpointed, so texts are read once though the thresholds need a pass before the filter. The join
+    own; repeated rows count each time and stay; other columns go, whatever their names; an empty table gives an empty one.
+    The counts are checkpointed, so texts are read once though the thresholds need a pass before the filter. The join
     with the fences is an ordinary one that Spark may broadcast by measured size or split where skewed.
     """
     rows = checkpointed(measured(docs, **columns))
-    limits = fences(rows, spread, least_rows).alias("f")
-    tests = [F.expr(f"CASE WHEN n_words > 0 AND ({ratio} > {k}_high" + (f" OR {ratio} < {k}_low" if lower else "") + f") THEN '{k}' END") for k, (ratio, lower, _) in RULES.items()]
+    limits = fences(rows, tail, spread, prior).alias("f")
+    tests = [F.expr(f"CASE WHEN {fails(k, z)} THEN '{k}' END") for k in RULES]
     out = rows.alias("r").join(limits, F.expr("r.lang <=> f.lang AND r.source <=> f.source"), "left")
     out = out.select("r.*", F.concat_ws(",", *tests).alias("failed"))
     return out.withColumn("kept", F.expr("NOT base_failed AND failed = ''"))

@@ -90,8 +90,25 @@ def test_op2_fences_follow_the_groups(spark):
 
 def test_op2_sketch_error(spark):
     rows = spark.range(2000).selectExpr("'en' lang", "'s' source", "10L AS n_words", "id AS word_chars", "0L n_symbols", "0L n_dup_lines", "0L n_repeat_words", "1L n_lines")
-    q = {r["rule"]: r for r in quality_rules.quartiles(quality_rules.sketches(rows), ["lang"]).collect()}["word_length"]
-    assert abs(q["q1"] / 5000 - 1) < 1 / 32 and abs(q["q3"] / 15000 - 1) < 1 / 32
+    q = {r["rule"]: r for r in quality_rules.quantiles(quality_rules.sketches(rows), ["lang"]).collect()}["word_length"]
+    assert abs(q["low"] / 3000 - 1) < 1 / 32 and abs(q["mid"] / 10000 - 1) < 1 / 32 and abs(q["high"] / 17000 - 1) < 1 / 32
+
+
+def test_op2_spread_and_size_of_a_group_decide(spark):
+    """Groups of one mean and different spread get different fences, and a small one lies between its own and its language's."""
+    rows = [(lang, source, 100, 100 * (5 + (i % 9 - 4) * step // 10), 0, i % 20 * step, 0, 100) for lang, source, step, n in (("en", "even", 2, 900), ("en", "odd", 20, 900), ("de", "even", 2, 30), ("de", "odd", 20, 900)) for i in range(n)]
+    df = spark.createDataFrame(rows, "lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long")
+    got = {(r["lang"], r["source"]): r for r in quality_rules.fences(df).collect()}
+    assert got["en", "odd"]["dup_lines_high"] > 3 * got["en", "even"]["dup_lines_high"]
+    assert got["en", "odd"]["word_length_high"] > got["en", "even"]["word_length_high"] and got["en", "odd"]["word_length_low"] < got["en", "even"]["word_length_low"]
+    assert got["en", "even"]["dup_lines_high"] < got["de", "even"]["dup_lines_high"] < got["de", "odd"]["dup_lines_high"]
+
+
+def test_op2_fences_of_a_table_differ(spark):
+    rows = quality_rules.measured(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    found = quality_rules.fences(rows)
+    n, own = found.count(), found.select("word_length_high").distinct().count()
+    assert own > n / 2
 
 
 def test_op7_places(spark, docs, sf_dir):
