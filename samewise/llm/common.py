@@ -110,20 +110,25 @@ def quoted(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def matches(text: str, pattern: str, at_once: int = 500) -> str:
+def matches(text: str, pattern: str, at_once: int = 500, gaps: bool = False) -> str:
     """SQL for the matches of a regular expression, leftmost and not overlapping: structs (start, end, text), in code points.
 
     The texts between matches, got by splitting, give the places. Sums run in blocks of `at_once`
     matches, so that appending to arrays stays cheap where a text has thousands. No match may be empty.
+    With `gaps`, the texts between matches, empty ones too, take the place of the matches.
     """
     p = quoted(pattern)
     none = "cast(array() AS array<struct<start: int, end: int, text: string>>)"
     match = "named_struct('start', a.at + length(q.g[i]), 'end', a.at + length(q.g[i]) + length(q.m[i]), 'text', q.m[i])"
+    if gaps:
+        match = "named_struct('start', a.at, 'end', a.at + length(q.g[i]), 'text', q.g[i])"
     step = f"named_struct('at', a.at + length(q.g[i]) + length(q.m[i]), 'out', concat(a.out, array({match})))"
     block = f"aggregate(sequence(b * {at_once}, least(size(q.m), (b + 1) * {at_once}) - 1), named_struct('at', o.at, 'out', {none}), (a, i) -> {step})"
     joined = f"transform(array({block}), x -> named_struct('at', x.at, 'out', concat(o.out, x.out)))[0]"
     whole = f"aggregate(sequence(0, cast(floor((size(q.m) - 1) / {at_once}) AS int)), named_struct('at', 0, 'out', {none}), (o, b) -> {joined}, o -> o.out)"
     placed = f"transform(array(named_struct('m', r.m, 'g', split({text}, {p}, -1))), q -> {whole})[0]"
+    if gaps:
+        return f"transform(array(named_struct('m', concat(regexp_extract_all({text}, {p}, 0), array('')))), r -> {placed})[0]"
     return f"transform(array(named_struct('m', regexp_extract_all({text}, {p}, 0))), r -> CASE WHEN size(r.m) = 0 THEN {none} ELSE {placed} END)[0]"
 
 
