@@ -47,7 +47,7 @@ TOP_LEVEL_DOMAINS = "com net org co in fr biz info io".split()
 
 #: Digraphs of the consonant skeleton, in the order they are replaced, and the letters folded after them.
 DIGRAPHS = (("chh", "S"), ("sch", "S"), ("sh", "S"), ("ch", "S"), ("kh", "K"), ("gh", "K"), ("th", "T"), ("dh", "T"), ("ph", "P"), ("bh", "P"), ("ng", "N"), ("ny", "N"))
-FOLDS = {"K": "kgqcx", "P": "pbfvw", "T": "td", "S": "sjz", "L": "lr", "M": "m", "N": "n"}
+FOLDS = {"K": "kgqcx", "P": "pbfvw", "T": "td", "S": "sjz", "L": "lr", "M": "mn"}
 SILENT = "yhaeiou"
 
 #: Starts of the nine Indic blocks, each of 128 code points in parallel order, and romanisations by offset.

@@ -20,7 +20,7 @@ def test_transliteration(spark, given, want):
 
 
 def test_skeleton(spark):
-    assert column(spark, ["kulopal", "global", "fud", "food", "developers", "devalapars", "kulopal aeiou 100", "", "ng sh"], text.skeleton) == ["KLPL", "KLPL", "PT", "PT", "TPLPLS", "TPLPLS", "KLPL 10", "", "N S"]
+    assert column(spark, ["kulopal", "global", "fud", "food", "developers", "devalapars", "kulopal aeiou 100", "", "ng sh", "national", "man nam", "banyan singh", "commons"], text.skeleton) == ["KLPL", "KLPL", "PT", "PT", "TPLPLS", "TPLPLS", "KLPL 10", "", "N S", "MTML", "M M", "PNM SMK", "KMS"]
 
 
 def test_clean_and_names(spark):
