@@ -30,12 +30,14 @@ def lcs(a: str, b: str) -> int:
 
 def ratio(a: str, b: str) -> float:
     """Twice the common subsequence over both lengths; a substitution counts as two edits."""
-    n = len(a) + len(b)
-    return 200.0 * lcs(a, b) / n if n else 100.0
+    if a == b:
+        return 100.0
+    return 200.0 * lcs(a, b) / (len(a) + len(b)) if a and b else 0.0
 
 
 def token_sort_ratio(a: str, b: str) -> float:
-    return ratio(" ".join(sorted(a.split())), " ".join(sorted(b.split())))
+    x, y = sorted(a.split()), sorted(b.split())
+    return 100.0 if x == y else ratio(" ".join(x), " ".join(y))
 
 
 def token_set_ratio(a: str, b: str) -> float:
@@ -97,24 +99,35 @@ def jaro_winkler(a: str, b: str) -> float:
 KERNELS: dict[str, Callable[[str, str], float]] = {"ratio": ratio, "token_sort": token_sort_ratio, "token_set": token_set_ratio, "partial": partial_ratio, "jaro_winkler": jaro_winkler}
 
 
-def kernel(name: str):
-    """The kernel as an Arrow UDF over two string columns; null counts as empty."""
-    score = KERNELS[name]
+def kernels(*names: str):
+    """An Arrow UDF over two string columns that returns a struct with a field for each kernel; null counts as empty.
+
+    The strings of a pair are sent to Python once for all kernels, and scored once per distinct pair in a batch.
+    """
+    score = [KERNELS[n] for n in names]
 
-    @F.pandas_udf("double")
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    @F.pandas_udf(", ".join(f"{n} double" for n in names))
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for a, b in batches:
-            memo: dict[tuple[str, str], float] = {}
-            out = []
-            for pair in zip(a.fillna(""), b.fillna("")):
-                if pair not in memo:
-                    memo[pair] = score(*pair)
-                out.append(memo[pair])
-            yield pd.Series(out, dtype="float64")
+            place: dict[tuple[str, str], int] = {}
+            at = [place.setdefault(pair, len(place)) for pair in zip(a.fillna(""), b.fillna(""))]
+            yield pd.DataFrame([[f(x, y) for f in score] for x, y in place], columns=list(names), dtype="float64").iloc[at].reset_index(drop=True)
 
     return run
 
 
+def kernel(name: str):
+    """One kernel as a column: equal strings are settled in the JVM and not sent to Python, all others by kernels()."""
+    run, same = kernels(name), 1.0 if name == "jaro_winkler" else 100.0
+
+    def column(a: Column | str, b: Column | str) -> Column:
+        x, y = (F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")) for c in (a, b))
+        equal = F.when(x.rlike(r"\S"), same).otherwise(0.0) if name == "token_set" else F.lit(same)
+        return F.when(x == y, equal).otherwise(run(F.when(x != y, x), F.when(x != y, y))[name])
+
+    return column
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Common words over all words, the union counting one at least."""
     x, y = F.array_distinct(tokens(a)), F.array_distinct(tokens(b))

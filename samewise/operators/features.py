@@ -38,13 +38,13 @@ def pair_features(pairs: DataFrame, records: DataFrame, parity: bool = False, to
 
     parity: one missing address makes the relative address features of its whole entity missing.
     """
-    k = {n: fuzzy.kernel(n) for n in ("token_set", "token_sort", "ratio", "partial")}
     p = with_attributes(pairs, records, ["n_name", "s_name", "n_addr", "postal", "name_acr"])
     l, r = (lambda c: F.col(f"l_{c}")), (lambda c: F.col(f"r_{c}"))  # noqa: E741
+    set_of = fuzzy.kernel("token_set")
+    p = p.withColumns({"_n": fuzzy.kernels("token_set", "token_sort", "ratio", "partial")("l_n_name", "r_n_name"), "_s": fuzzy.kernels("token_set", "ratio")("l_s_name", "r_s_name"), "_t": fuzzy.kernels("token_set", "token_sort", "ratio")("l_n_addr", "r_n_addr")})
     p = p.withColumns({
-        "name_tsr": k["token_set"]("l_n_name", "r_n_name"), "name_tso": k["token_sort"]("l_n_name", "r_n_name"), "name_rat": k["ratio"]("l_n_name", "r_n_name"), "name_par": k["partial"]("l_n_name", "r_n_name"),
-        "skel_tsr": k["token_set"]("l_s_name", "r_s_name"), "skel_rat": k["ratio"]("l_s_name", "r_s_name"),
-        "_a": k["token_set"]("l_n_addr", "r_n_addr"), "_b": k["token_sort"]("l_n_addr", "r_n_addr"), "_c": k["ratio"]("l_n_addr", "r_n_addr"),
+        "name_tsr": F.col("_n.token_set"), "name_tso": F.col("_n.token_sort"), "name_rat": F.col("_n.ratio"), "name_par": F.col("_n.partial"), "skel_tsr": F.col("_s.token_set"), "skel_rat": F.col("_s.ratio"),
+        "_a": F.col("_t.token_set"), "_b": F.col("_t.token_sort"), "_c": F.col("_t.ratio"),
     })
     there = (l("n_addr") != "") & (r("n_addr") != "")
     num_inter, num_jacc, conflict, rate = fuzzy.digit_conflicts(l("n_addr"), r("n_addr"))
@@ -63,7 +63,7 @@ def pair_features(pairs: DataFrame, records: DataFrame, parity: bool = False, to
     p = p.join(idf, ENTITY, "left")
     p = relative(p, ["sim_block", "name_tsr", "skel_tsr", "addr_tsr"], parity)
     p = anchored(p, ["r_s_name", "r_n_addr", "skel_tsr", "addr_tsr"])
-    p = p.withColumns({"skel_vs_anchor": k["token_set"]("r_s_name", "anchor_r_s_name"), "addr_vs_anchor": k["token_set"]("r_n_addr", "anchor_r_n_addr"), "anchor_gap_skel": F.col("skel_tsr") - F.col("anchor_skel_tsr"), "anchor_gap_addr": F.col("addr_tsr") - F.col("anchor_addr_tsr")})
+    p = p.withColumns({"skel_vs_anchor": set_of("r_s_name", "anchor_r_s_name"), "addr_vs_anchor": set_of("r_n_addr", "anchor_r_n_addr"), "anchor_gap_skel": F.col("skel_tsr") - F.col("anchor_skel_tsr"), "anchor_gap_addr": F.col("addr_tsr") - F.col("anchor_addr_tsr")})
     p = support(p.withColumns({"s_name": r("s_name"), "n_addr": r("n_addr")}), top=top)
     w = Window.partitionBy(ENTITY).orderBy(F.col("skel_tsr").desc_nulls_last(), F.col(CAND))
     p = p.withColumn("skel_rank", F.row_number().over(w) - 1)
@@ -79,8 +79,8 @@ EARLY = (
 
 def early_features(pairs: DataFrame, records: DataFrame) -> DataFrame:
     """ids, n_keys and sim_block where the pairs have them, and the features EARLY; similarities are 0 to 1."""
-    k = {n: fuzzy.kernel(n) for n in fuzzy.KERNELS}
     p = with_attributes(pairs, records, ["n_name", "n_addr", "name_acr", "name_sorted", "postal", "country_key"], strict=True)
+    p = p.withColumns({"_nm": fuzzy.kernels(*fuzzy.KERNELS)("l_n_name", "r_n_name"), "_ad": fuzzy.kernels("ratio", "token_set", "token_sort", "jaro_winkler")("l_n_addr", "r_n_addr")})
     p = p.withColumns({"l": F.col(ENTITY), "r": F.col(CAND)})
     for column, prefix in (("n_name", "nm"), ("n_addr", "ad")):
         df, n = token_df(records, column)
@@ -90,12 +90,12 @@ def early_features(pairs: DataFrame, records: DataFrame) -> DataFrame:
     made: dict[str, Column] = {}
     for column, prefix in (("n_name", "nm"), ("n_addr", "ad")):
         a, b = f"l_{column}", f"r_{column}"
-        made |= {f"{prefix}_ratio": k["ratio"](a, b) / 100, f"{prefix}_tokset": k["token_set"](a, b) / 100, f"{prefix}_toksort": k["token_sort"](a, b) / 100, f"{prefix}_jw": k["jaro_winkler"](a, b)}
+        made |= {f"{prefix}_{name}": F.col(f"_{prefix}.{kernel}") / 100 for name, kernel in (("ratio", "ratio"), ("tokset", "token_set"), ("toksort", "token_sort"))} | {f"{prefix}_jw": F.col(f"_{prefix}.jaro_winkler")}
         made |= {f"{prefix}_contain": fuzzy.containment(l(column), r(column)), f"{prefix}_nshared": fuzzy.shared_tokens(l(column), r(column)), f"{prefix}_len_l": F.length(a), f"{prefix}_len_r": F.length(b)}
         made[f"{prefix}_jaccard"] = F.when((l(column) != "") & (r(column) != ""), fuzzy.jaccard(l(column), r(column))).otherwise(0.0)
     x, y = numbers(l("n_addr")), numbers(r("n_addr"))
     made |= {
-        "nm_partial": k["partial"]("l_n_name", "r_n_name") / 100, "nm_len_ratio": F.least(F.length("l_n_name"), F.length("r_n_name")) / F.greatest(F.length("l_n_name"), F.length("r_n_name"), F.lit(1)),
+        "nm_partial": F.col("_nm.partial") / 100, "nm_len_ratio": F.least(F.length("l_n_name"), F.length("r_n_name")) / F.greatest(F.length("l_n_name"), F.length("r_n_name"), F.lit(1)),
         "nm_first_tok_eq": flag((F.substring_index("l_n_name", " ", 1) == F.substring_index("r_n_name", " ", 1)) & (l("n_name") != "")),
         "nm_acr_eq": flag((l("name_acr") == r("name_acr")) & (l("name_acr") != "")), "nm_exact": flag((l("n_name") == r("n_name")) & (l("n_name") != "")), "nm_sorted_eq": flag((l("name_sorted") == r("name_sorted")) & (l("name_sorted") != "")),
         "nm_prefix4": flag((F.left("l_n_name", F.lit(4)) == F.left("r_n_name", F.lit(4))) & (l("n_name") != "")),
