@@ -1,7 +1,7 @@
 """From scored pairs to a set of links per entity: thresholds, expected F, one-to-one assignment, and tuning.
 
-Pairs are (source1_entity_id, cand_id, prob). Decisions are windows over the entity; tuning adds a grid of
-knobs to a summary per pair, and the metric's parts combine before they shuffle.
+Pairs are (source1_entity_id, cand_id, prob). Decisions are windows over the entity; tuning works on counts per
+level of probability, and the metric's parts combine before they shuffle.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .metrics import f_beta
 
 ENTITY, CAND = "source1_entity_id", "cand_id"
+#: The grids that are searched.
 TAUS = [round(k / 40, 3) for k in range(4, 33)]
 ALPHAS = [0.0, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]
 GAMMAS = [0.8, 0.9, 1.0, 1.05, 1.1, 1.15, 1.2, 1.3, 1.5, 1.8]
@@ -80,18 +81,34 @@ def truth_counts(entities: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def scored_grid(pairs: DataFrame, entities: DataFrame, links: DataFrame, grid: DataFrame, p: str = "prob") -> DataFrame:
-    """(tau_empty, tau_abs, alpha, macro_f) for each row of the grid.
+    """(tau_empty, tau_abs, alpha, macro_f) for each row of the grid, which is small and of a fixed size.
 
-    The grid's size is fixed, so it is broadcast to the labelled pairs; pairs below its least threshold are never
-    expanded. Entities without a kept pair count through their numbers alone.
+    A pair counts under a threshold if its level, the number of thresholds it reaches, is high enough; so what an entity
+    predicts follows from its counts per level, summed from the top, once per alpha. Whether it predicts follows from the
+    level of its best alone. No pair meets the grid; sums per alpha and two levels do.
     """
+    values = {c: sorted({r[c] for r in grid.select(c).collect()}) for c in ("tau_empty", "tau_abs", "alpha")}
+
+    def level(c: str, of: list[float]) -> Column:
+        return F.size(F.filter(F.array(*map(F.lit, of)), lambda t: t <= F.col(c)))
+
+    def place(c: str) -> Column:
+        return F.array_position(F.array(*map(F.lit, values[c])), F.col(c))
+
     true = links.select(ENTITY, CAND).distinct().withColumn("y", F.lit(1))
-    best = F.max(p).over(Window.partitionBy(ENTITY))
-    rows = pairs.select(ENTITY, CAND, F.col(p).alias("p")).join(true, [ENTITY, CAND], "left").fillna(0, ["y"]).withColumn("best", best.alias("best") if p == "p" else F.max("p").over(Window.partitionBy(ENTITY)))
-    keep = "best >= tau_empty AND p >= greatest(tau_abs, alpha * best)"
-    hit = rows.join(F.broadcast(grid), F.expr(keep)).groupBy("tau_empty", "tau_abs", "alpha", ENTITY).agg(F.count("*").alias("n_pred"), F.sum("y").alias("tp"))
+    rows = pairs.select(ENTITY, CAND, F.col(p).alias("p")).join(true, [ENTITY, CAND], "left").fillna(0, ["y"]).withColumn("best", F.max("p").over(Window.partitionBy(ENTITY)))
+    rows = rows.withColumns({"_at": level("p", values["tau_abs"]), "_from": level("best", values["tau_empty"])}).where("_at > 0 AND _from > 0")
+    rows = rows.withColumn("alpha", F.explode(F.array(*map(F.lit, values["alpha"])))).where("p >= alpha * best")
+    by = rows.groupBy(ENTITY, "alpha", "_at").agg(F.count("*").alias("n"), F.sum("y").alias("y"), F.max("_from").alias("_from"))
+    w = Window.partitionBy(ENTITY, "alpha").orderBy(F.col("_at").desc())
+    above = w.rowsBetween(Window.unboundedPreceding, 0)
+    by = by.withColumns({"n_pred": F.sum("n").over(above), "tp": F.sum("y").over(above), "_next": F.coalesce(F.lead("_at").over(w), F.lit(0))})
     counts = truth_counts(entities, links)
-    sums = hit.join(counts, ENTITY).withColumn("f", f_beta(F.col("tp"), F.col("n_pred"), F.col("n_true"))).groupBy("tau_empty", "tau_abs", "alpha").agg(F.sum("f").alias("s"), F.count_if(F.col("n_true") == 0).alias("lost"))
+    by = by.join(counts, ENTITY).withColumn("f", f_beta(F.col("tp"), F.col("n_pred"), F.col("n_true")))
+    by = by.withColumn("_abs", F.explode(F.sequence(F.col("_next") + 1, F.col("_at"))))
+    sums = by.groupBy("alpha", "_abs", "_from").agg(F.sum("f").alias("s"), F.count_if(F.col("n_true") == 0).alias("lost"))
+    asked = grid.withColumns({"_abs": place("tau_abs"), "_empty": place("tau_empty")})
+    sums = asked.join(sums, ["alpha", "_abs"]).where("_from >= _empty").groupBy("tau_empty", "tau_abs", "alpha").agg(F.sum("s").alias("s"), F.sum("lost").alias("lost"))
     every = counts.agg(F.count("*").alias("n"), F.count_if(F.col("n_true") == 0).alias("empty"))
     out = grid.join(sums, ["tau_empty", "tau_abs", "alpha"], "left").fillna({"s": 0.0, "lost": 0}).join(F.broadcast(every), F.lit(True))
     return out.select("tau_empty", "tau_abs", "alpha", ((F.col("s") + F.col("empty") - F.col("lost")) / F.col("n")).alias("macro_f"))
@@ -147,3 +164,11 @@ def tune_hybrid(pairs: DataFrame, entities: DataFrame, links: DataFrame, taus: l
     found = [(r["macro_f"], t, r["gamma"]) for t in taus for r in gamma_scores(pairs, entities, links, gammas, t).collect()]
     f, t, g = max(found)
     return g, t, f
+
+
+def probability_floor(knobs: Knobs, stacked: bool = False) -> float:
+    """A probability below which no pair matters to threshold decisions; what predictions are cut at before they are written.
+
+    Not for expected F, which sums the small probabilities too.
+    """
+    return 0.4 * min(knobs.tau_empty, 0.5) if stacked else 0.5 * min(knobs.tau_abs, knobs.tau_empty)

@@ -55,3 +55,23 @@ def pruned(pairs: DataFrame, weights: dict[str, float], top_n: int = 12, keep_ab
     w = Window.partitionBy("source1_entity_id").orderBy(F.col("pre_score").desc(), F.col("cand_id"))
     out = pairs.withColumn("pre_score", F.round(score, 6)).withColumn("pre_rank", F.row_number().over(w))
     return out.where((F.col("pre_rank") <= top_n) | (F.col("pre_score") >= keep_above))
+
+
+def contained(left: DataFrame, right: DataFrame, a: str, b: str, over: int, under: int, words: str = "w") -> DataFrame:
+    """(a, b, containment) of rows whose common words are over / under or more of the smaller side's; both sides have an id and a set of words.
+
+    All but so few words of the smaller set are common that one of its rarest is, so only these look up the
+    other side's words: a word that all rows have is met only by sets of little else.
+    """
+    x, y = (t.select(F.col(i).alias("id"), F.size(words).alias("n"), F.explode(words).alias("t")) for t, i in ((left, a), (right, b)))
+    often = x.select("t").unionAll(y.select("t")).groupBy("t").agg(F.count("*").alias("df"))
+
+    def rare(of: DataFrame) -> DataFrame:
+        ranked = of.join(often, "t").withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy("df", "t")))
+        return ranked.where(F.col("k") <= F.col("n") - F.ceil(F.lit(over) * F.col("n") / under) + 1)
+
+    one = rare(x).alias("p").join(y.alias("q"), F.expr("p.t = q.t AND p.n <= q.n")).select(F.col("p.id").alias(a), F.col("q.id").alias(b))
+    two = rare(y).alias("p").join(x.alias("q"), F.expr("p.t = q.t AND p.n <= q.n")).select(F.col("q.id").alias(a), F.col("p.id").alias(b))
+    met = one.union(two).distinct().join(left.select(a, F.col(words).alias("_x")), a).join(right.select(b, F.col(words).alias("_y")), b)
+    both, least = F.size(F.array_intersect("_x", "_y")), F.least(F.size("_x"), F.size("_y"))
+    return met.where(under * both >= over * least).select(a, b, (both / least).alias("containment"))

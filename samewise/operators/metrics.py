@@ -74,3 +74,10 @@ def profile_sizes(links: DataFrame, entities: DataFrame) -> DataFrame:
     """(n_links, n_entities): how many entities have how many links."""
     n = links.groupBy(ENTITY).agg(F.count("*").alias("k"))
     return entities.select(ENTITY).distinct().join(n, ENTITY, "left").fillna(0, ["k"]).groupBy(F.col("k").alias("n_links")).agg(F.count("*").alias("n_entities"))
+
+
+def profile_countries(links: DataFrame, entities: DataFrame, by: str = "country_key") -> DataFrame:
+    """Per country of the first source: entities, the share of them without a link, mean and largest number of links. Entities need the column."""
+    n = links.groupBy(ENTITY).agg(F.count("*").alias("k"))
+    own = entities.select(ENTITY, by).distinct().join(n, ENTITY, "left").fillna(0, ["k"])
+    return own.groupBy(by).agg(F.count("*").alias("n_entities"), F.avg((F.col("k") == 0).cast("double")).alias("singleton_rate"), F.avg("k").alias("mean_links"), F.max("k").alias("max_links"))
