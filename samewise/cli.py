@@ -22,6 +22,8 @@ class Work:
 
     def __init__(self, spark: SparkSession, folder: str, split: str) -> None:
         self.spark, self.folder, self.split = spark, folder.rstrip("/"), split
+        if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+            spark.sparkContext.setCheckpointDir(spark.sparkContext.getConf().get("spark.checkpoint.dir") or self.path("checkpoints"))
 
     def path(self, name: str) -> str:
         return f"{self.folder}/work/{name}"
@@ -56,6 +58,7 @@ def inspect(w: Work, a) -> None:
     if w.split == "train":
         metrics.profile_links(w.links(), w.entities(), w.sides()[1]).show(truncate=False)
         metrics.profile_sizes(w.links(), w.entities()).orderBy("n_links").show()
+        metrics.profile_countries(w.links(), w.records(1).select(F.col("entity_id").alias("source1_entity_id"), "country_key")).show()
 
 
 def prep(w: Work, a) -> None:
@@ -129,22 +132,84 @@ def train(w: Work, a) -> None:
     knobs, score = decide.tune(scored, some, links)
     gamma, tau, both = decide.tune_hybrid(scored, some, links, decide.TAUS[::4])
     state = {"features": names, "knobs": asdict(knobs), "macro_f": score, "hybrid": {"gamma": gamma, "tau_empty": tau, "macro_f": both}}
-    w.spark.createDataFrame([(json.dumps(state),)], "value string").coalesce(1).write.mode("overwrite").text(w.path("knobs"))
+    keep_state(w, state, "knobs")
     metrics.report(decide.threshold(scored, knobs), links, some).show(truncate=False, vertical=True)
     for name, gain in fitted.importance():
         print(f"{gain:.4f} {name}")
 
 
-def predict(w: Work, a) -> None:
-    state = json.loads(w.spark.read.text(w.path("knobs")).first()["value"])
-    fitted = model.PairModel.load(w.path("model"), state["features"])
-    w.write(fitted.transform(featured(w, a)).select("source1_entity_id", "cand_id", "prob"), f"{w.split}_scored")
-    scored, knobs, hybrid = w.read(f"{w.split}_scored"), decide.Knobs(**state["knobs"]), state["hybrid"]
-    links = decide.hybrid(scored, hybrid["gamma"], hybrid["tau_empty"], knobs.one_to_one) if hybrid["macro_f"] > state["macro_f"] else decide.threshold(scored, knobs)
+def state_of(w: Work, name: str = "knobs") -> dict:
+    return json.loads(w.spark.read.text(w.path(name)).first()["value"])
+
+
+def keep_state(w: Work, state: dict, name: str) -> None:
+    w.spark.createDataFrame([(json.dumps(state),)], "value string").coalesce(1).write.mode("overwrite").text(w.path(name))
+
+
+def decided(w: Work, scored: DataFrame, state: dict, stacked: bool = False) -> None:
+    """Scores written, cut at the floor where thresholds decide, and the results from them."""
+    knobs, hybrid = decide.Knobs(**state["knobs"]), state["hybrid"]
+    by_f = hybrid["macro_f"] > state["macro_f"]
+    w.write(scored if by_f else scored.where(F.col("prob") >= decide.probability_floor(knobs, stacked)), f"{w.split}_scored")
+    scored = w.read(f"{w.split}_scored")
+    links = decide.hybrid(scored, hybrid["gamma"], hybrid["tau_empty"], knobs.one_to_one) if by_f else decide.threshold(scored, knobs)
     left, right = w.sides()
     rec.write_results(rec.results(left, right, links, scored), w.path("matching_results"), w.path("candidate_pairs"))
 
 
+def predict(w: Work, a) -> None:
+    state = state_of(w)
+    fitted = model.PairModel.load(w.path("model"), state["features"])
+    decided(w, fitted.transform(featured(w, a)).select("source1_entity_id", "cand_id", "prob"), state)
+
+
+def with_texts(w: Work, pairs: DataFrame) -> DataFrame:
+    """Pairs with the skeleton and address of the candidate, which the second stage compares."""
+    own = w.sides()[1].select(F.col("entity_id").alias("cand_id"), "s_name", "n_addr")
+    return pairs.join(own, "cand_id")
+
+
+def embfeat(w: Work, a) -> None:
+    """Cosines of the vectors in <folder>/work/<split>_vectors (entity_id, vector), beside the candidates."""
+    name = a.cands or f"{w.split}_cands"
+    w.write(features.embedding_cosine(w.read(name), w.read(f"{w.split}_vectors")), a.out or f"{name}_emb")
+
+
+def stack(w: Work, a) -> None:
+    """Fits both stages on entities not held out, and tunes the decision on those that are."""
+    w.write(merge.labelled(featured(w, a), w.links()), "train_features")
+    rows = with_texts(w, w.read("train_features"))
+    names = [c for c in rows.columns if c not in ("source1_entity_id", "cand_id", "label", "s_name", "n_addr")]
+    held = model.held_out(F.col("source1_entity_id"))
+    first, second = model.fit_stack(rows.where(~held), names, rounds=a.rounds)
+    first.save(w.path("stack_first"))
+    second.save(w.path("stack_second"))
+    w.write(model.predict_stack(rows.where(held), first, second).select("source1_entity_id", "cand_id", "prob"), "valid_stacked")
+    scored, some = w.read("valid_stacked"), w.entities().where(held)
+    links = w.links().join(some, "source1_entity_id", "left_semi")
+    knobs, score = decide.tune(scored, some, links)
+    gamma, tau, both = decide.tune_hybrid(scored, some, links, decide.TAUS[::4])
+    keep_state(w, {"features": names, "knobs": asdict(knobs), "macro_f": score, "hybrid": {"gamma": gamma, "tau_empty": tau, "macro_f": both}}, "stack_knobs")
+
+
+def predict_stack(w: Work, a) -> None:
+    state = state_of(w, "stack_knobs")
+    first = model.PairModel.load(w.path("stack_first"), state["features"])
+    second = model.PairModel.load(w.path("stack_second"), [*state["features"], *model.STACKED])
+    decided(w, model.predict_stack(with_texts(w, featured(w, a)), first, second).select("source1_entity_id", "cand_id", "prob"), state, stacked=True)
+
+
+def run_pipeline(w: Work, a) -> None:
+    """From sources to checked results in one call: candidates, model on the train split, results of the split asked for."""
+    for split in dict.fromkeys(("train", w.split)):
+        own = Work(w.spark, w.folder, split)
+        for step in (prep, block, reverse, merge_cands, competition):
+            step(own, a)
+    (stack if a.stacked else train)(Work(w.spark, w.folder, "train"), a)
+    (predict_stack if a.stacked else predict)(w, a)
+    check(w, a)
+
+
 def check(w: Work, a) -> None:
     read = lambda p: rec.tsv(w.spark, p).toDF("source1_entity_id", "ids")
     m, c = a.matching or w.path("matching_results"), a.candidate or w.path("candidate_pairs")
@@ -158,7 +223,7 @@ def check(w: Work, a) -> None:
     sys.exit(validate.exit_code(form))
 
 
-STEPS = {f.__name__: f for f in (inspect, prep, tokidf, block, reverse, merge_cands, competition, multiview, tfidf_views, train, predict, check)}
+STEPS = {f.__name__: f for f in (inspect, prep, tokidf, block, reverse, merge_cands, competition, multiview, tfidf_views, embfeat, train, predict, stack, predict_stack, run_pipeline, check)}
 
 
 def parsed(args: list[str] | None = None) -> argparse.Namespace:
@@ -177,6 +242,7 @@ def parsed(args: list[str] | None = None) -> argparse.Namespace:
     for name in ("out", "fwd", "rev", "cands", "matching", "candidate"):
         p.add_argument(f"--{name}")
     p.add_argument("--check-ids", action="store_true")
+    p.add_argument("--stacked", action="store_true")
     return p.parse_args(args)
 
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from samewise import cli
-from samewise.operators import cluster, decide, keys, metrics, model, ranks, retrieve, tfidf, validate
+from samewise.operators import cluster, decide, keys, merge, metrics, model, ranks, retrieve, tfidf, validate
 from samewise.sources import records as rec
 from samewise.functions import text
 
@@ -176,6 +176,38 @@ def test_command_line_end_to_end(spark, tmp_path):
     assert sum(got[i] == ids for i, ids in truth) > 40
     for step in ("tokidf", "multiview", "tfidf_views"):
         run(step, "test")
+    vectors = [(f"S{k}-{i}", [1.0, 0.0] if i % 2 else [0.6, 0.8]) for k in (1, 2) for i in range(60)]
+    spark.createDataFrame(vectors, "entity_id string, vector array<double>").write.parquet(str(tmp_path / "work/test_vectors"))
+    run("embfeat", "test")
+    assert {round(x["emb_cos"], 6) for x in spark.read.parquet(str(tmp_path / "work/test_cands_emb")).where("emb_cos IS NOT NULL").collect()} <= {1.0, 0.6}
+    run("stack", "train", "--rounds", "2")
+    run("predict_stack", "test")
+    assert rec.tsv(spark, str(tmp_path / "work/matching_results")).count() == 60
+
+
+def test_one_call_runs_the_steps_in_order(spark, tmp_path, monkeypatch):
+    ran = []
+    for name in ("prep", "block", "reverse", "merge_cands", "competition", "train", "stack", "predict", "predict_stack", "check"):
+        monkeypatch.setattr(cli, name, lambda w, a, name=name: ran.append((name, w.split)))
+    cli.main(["run_pipeline", "--folder", str(tmp_path), "--split", "test", "--stacked"], spark)
+    steps = ["prep", "block", "reverse", "merge_cands", "competition"]
+    assert ran == [*[(s, "train") for s in steps], *[(s, "test") for s in steps], ("stack", "train"), ("predict_stack", "test"), ("check", "test")]
+
+
+def test_containment_against_brute_force(spark):
+    r = random.Random(14)
+    sets = {k: [(i, r.sample(range(12 if i % 3 else 40), r.randint(1, 12))) for i in range(60)] for k in "ab"}
+    a, b = (spark.createDataFrame([(i, [f"w{x}" for x in w]) for i, w in sets[k]], f"{k} long, w array<string>") for k in "ab")
+    got = {(x["a"], x["b"]): round(x["containment"], 9) for x in merge.contained(a, b, "a", "b", 9, 10).collect()}
+    share = {(i, j): len(set(v) & set(w)) / min(len(v), len(w)) for i, v in sets["a"] for j, w in sets["b"]}
+    assert got == {k: round(v, 9) for k, v in share.items() if v >= 0.9} and len(got) > 100
+
+
+def test_floor_and_countries(spark):
+    assert decide.probability_floor(decide.Knobs(0.6, 0.425)) == 0.2125 and decide.probability_floor(decide.Knobs(0.4), stacked=True) == pytest.approx(0.16)
+    entities = spark.createDataFrame([("S1-1", "x"), ("S1-2", "x"), ("S1-3", "y")], "source1_entity_id string, country_key string")
+    links = spark.createDataFrame([("S1-1", "S2-1"), ("S1-1", "S2-2"), ("S1-3", "S2-3")], "source1_entity_id string, cand_id string")
+    assert {tuple(r) for r in metrics.profile_countries(links, entities).collect()} == {("x", 2, 0.5, 1.0, 2), ("y", 1, 0.0, 1.0, 1)}
 
 
 def test_stream(spark, tmp_path):
