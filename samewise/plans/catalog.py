@@ -50,12 +50,15 @@ def raw(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def checkpoints(spark) -> None:
-    """A folder for checkpoints where the cluster names none, as on a single machine."""
+    """The folder for checkpoints that the cluster names; one is made only on a single machine that names none."""
     import tempfile
 
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
 
 
 def kept(df: DataFrame) -> DataFrame:
@@ -238,7 +241,10 @@ def smooth_idf(spark, sf):
     return retrieve.smooth_idf(df, n.first()["n_docs"])[0].withColumn("idf", F.round("idf", 6))
 
 
-@query()
+@query(f"""{sql.FORWARD}, {sql.top('wide', 20)}, wp AS (SELECT w.*, a.s_name AS sa, b.s_name AS sb, a.n_addr AS aa, b.n_addr AS ab FROM wide w JOIN rec a ON a.entity_id = source1_entity_id JOIN rec b ON b.entity_id = cand_id),
+sp AS (SELECT DISTINCT sa, sb FROM wp), {sql.kernels('sp', 'sa', 'sb', 'ks')}, ap AS (SELECT DISTINCT aa, ab FROM wp), {sql.kernels('ap', 'aa', 'ab', 'ka')},
+z AS (SELECT source1_entity_id, cand_id, round(greatest(ks.token_set, ka.token_set) + 0.35 * least(ks.token_set, ka.token_set) + 0.05 * 100.0 * sim_block, 6) AS sim_block FROM wp JOIN ks USING (sa, sb) JOIN ka USING (aa, ab))
+SELECT * FROM z QUALIFY row_number() OVER (PARTITION BY source1_entity_id ORDER BY sim_block DESC, cand_id) <= 5""")
 def rescored_topk(spark, sf):
     return retrieve.rescored(retrieve.forward(*searched(spark, sf), k=20), records(spark, sf), k=5)
 
@@ -319,12 +325,10 @@ _BX, _DX = _TOK.format("b.t"), _TOK.format("d.t")
 SELECT item_id, doc_id, round(len(list_intersect({_BX}, {_DX})) / least(len({_BX}), len({_DX})), 6) AS containment FROM b, d WHERE len({_BX}) > 0 AND len({_DX}) > 0 AND len(list_intersect({_BX}, {_DX})) / least(len({_BX}), len({_DX})) >= 0.9""".replace("WHERE item_id < 20", "").replace("WHERE doc_id % 10 = 0", ""))
 def benchmark_containment(spark, sf):
     def words(df, key):
-        return df.select(key, F.array_distinct(tx.tokens(tx.clean("text"))).alias("w")).select(key, F.size("w").alias(f"n_{key}"), F.explode("w").alias("t"))
+        return df.select(key, F.array_distinct(tx.tokens(tx.clean("text"))).alias("w")).where(F.size("w") > 0)
 
-    b, d = words(table(spark, sf, "benchmark"), "item_id"), words(table(spark, sf, "documents"), "doc_id")
-    both = b.join(d, "t").groupBy("item_id", "doc_id").agg(F.count("*").alias("n"), F.first("n_item_id").alias("x"), F.first("n_doc_id").alias("y"))
-    share = F.col("n") / F.least("x", "y")
-    return both.where(share >= 0.9).select("item_id", "doc_id", F.round(share, 6).alias("containment"))
+    b, d = kept(words(table(spark, sf, "benchmark"), "item_id")), kept(words(table(spark, sf, "documents"), "doc_id"))
+    return merge.contained(b, d, "item_id", "doc_id", 9, 10).select("item_id", "doc_id", F.round("containment", 6).alias("containment"))
 
 
 _PD, _QD = "list_distinct(list_filter(string_split(p, ' '), lambda t: regexp_matches(t, '[0-9]')))", "list_distinct(list_filter(string_split(q, ' '), lambda t: regexp_matches(t, '[0-9]')))"
@@ -371,10 +375,18 @@ def name_pairs(spark, sf):
     return n.select(F.col("p_name").alias("a"), "p_brand").join(n.select(F.col("p_name").alias("b"), "p_brand"), "p_brand").where("a < b").select("a", "b").distinct()
 
 
-@query()
+_NAMES = "n AS (SELECT DISTINCT p_name, p_brand FROM part), ab AS (SELECT DISTINCT a.p_name AS a, b.p_name AS b FROM n a JOIN n b ON a.p_brand = b.p_brand AND a.p_name < b.p_name)"
+
+
+@query(f"WITH {_NAMES}, {sql.kernels('ab', 'a', 'b', 'kr')} SELECT a, b, round(ratio, 4) AS ratio, round(token_sort, 4) AS token_sort, round(token_set, 4) AS token_set FROM kr")
 def sequence_kernels(spark, sf):
-    k = {n: fuzzy.kernel(n) for n in ("ratio", "token_sort", "token_set", "partial")}
-    return name_pairs(spark, sf).select("a", "b", *[F.round(f("a", "b"), 4).alias(n) for n, f in k.items()])
+    k = F.col("k")
+    return name_pairs(spark, sf).withColumn("k", fuzzy.kernels("ratio", "token_sort", "token_set")("a", "b")).select("a", "b", *[F.round(k[n], 4).alias(n) for n in ("ratio", "token_sort", "token_set")])
+
+
+@query()
+def partial_kernel(spark, sf):
+    return name_pairs(spark, sf).select("a", "b", F.round(fuzzy.kernel("partial")("a", "b"), 4).alias("partial"))
 
 
 # --- features and models --------------------------------------------------------------------------------------
@@ -385,10 +397,10 @@ def pair_features(spark, sf):
     return features.pair_features(ranks.competition(scored_pairs(spark, sf).drop("prob")), records(spark, sf))
 
 
-@query(f"{sql.PAIRS}, e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 4 <> 1) SELECT source1_entity_id, cand_id, round(list_inner_product(a.v, b.v), 6) AS emb_cos FROM pairs LEFT JOIN e a ON a.vec_id = {sql.NUMBER.format('source1_entity_id')} LEFT JOIN e b ON b.vec_id = {sql.NUMBER.format('cand_id')}")
+@query(f"{sql.PAIRS}, e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings) SELECT source1_entity_id, cand_id, round(list_inner_product(a.v, b.v), 6) AS emb_cos FROM pairs LEFT JOIN e a ON a.vec_id = {sql.NUMBER.format('source1_entity_id')} LEFT JOIN e b ON b.vec_id = {sql.NUMBER.format('cand_id')}")
 def embedding_pairs(spark, sf):
     of = lambda k: F.concat(F.lit(f"S{k}-"), F.col("vec_id").cast("string"))
-    e = table(spark, sf, "embeddings").where("vec_id % 4 <> 1").select(F.when(F.col("vec_id") % 3 == 0, of(1)).when(F.col("vec_id") % 3 == 1, of(2)).otherwise(of(3)).alias("entity_id"), F.col("embedding").alias("vector"))
+    e = table(spark, sf, "embeddings").select(F.when(F.col("vec_id") % 3 == 0, of(1)).when(F.col("vec_id") % 3 == 1, of(2)).otherwise(of(3)).alias("entity_id"), F.col("embedding").alias("vector"))
     return features.embedding_cosine(scored_pairs(spark, sf), e).select(*PAIR, F.round("emb_cos", 6).alias("emb_cos"))
 
 
@@ -425,10 +437,9 @@ def sibling_support(spark, sf):
 @query("""WITH RECURSIVE n AS (SELECT DISTINCT doc_id AS id FROM documents), g AS (SELECT text, min(doc_id) AS a FROM documents GROUP BY text), e AS (SELECT g.a, d.doc_id AS b FROM documents d JOIN g USING (text) WHERE g.a <> d.doc_id), both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 r(id, reach) AS (SELECT id, id FROM n UNION SELECT r.id, b FROM r JOIN both_ways ON a = reach) SELECT id, min(reach) AS component FROM r GROUP BY id""")
 def components(spark, sf):
-    from pyspark.sql import Window
-
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"), F.sha2("text", 256).alias("s"))
-    e = d.withColumn("a", F.min("id").over(Window.partitionBy("s"))).select("a", F.col("id").alias("b")).where("a <> b")
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.sha2("text", 256).alias("s"))
+    first = d.groupBy("s").agg(F.min("id").alias("a"))
+    e = d.join(first, "s").select("a", F.col("id").alias("b")).where("a <> b")
     checkpoints(spark)
     return cluster.components(e, d)
 
@@ -485,7 +496,7 @@ def threshold_by_country(spark, sf):
     return decide.threshold_by(scored_pairs(spark, sf).join(country, "source1_entity_id"), knobs, decide.Knobs()).select(*PAIR)
 
 
-@query(f"""{sql.PAIRS}, {sql.LINKS}, gr AS (SELECT * FROM (VALUES (0.2), (0.5), (0.8)) a(tau_empty), (VALUES (0.2), (0.5)) b(tau_abs), (VALUES (0.0), (0.6), (0.9)) c(alpha) WHERE tau_abs <= tau_empty),
+@query(f"""{sql.PAIRS}, {sql.LINKS}, gr AS MATERIALIZED (SELECT tau_empty, tau_abs, alpha FROM (SELECT unnest({decide.TAUS}::DOUBLE[]) AS tau_empty), (SELECT unnest({decide.TAUS}::DOUBLE[]) AS tau_abs), (SELECT unnest({decide.ALPHAS}::DOUBLE[]) AS alpha) WHERE tau_abs <= tau_empty),
 pb AS (SELECT *, max(prob) OVER (PARTITION BY source1_entity_id) AS best FROM pairs), kp AS (SELECT tau_empty, tau_abs, alpha, source1_entity_id, cand_id FROM pb, gr WHERE best >= tau_empty AND prob >= greatest(tau_abs, alpha * best)),
 np AS (SELECT tau_empty, tau_abs, alpha, source1_entity_id, count(*) AS n_pred, count(l.cand_id) AS tp FROM kp LEFT JOIN (SELECT source1_entity_id, cand_id, 1 AS y FROM links) l USING (source1_entity_id, cand_id) GROUP BY ALL),
 nt AS (SELECT source1_entity_id, count(*) AS n_true FROM links GROUP BY ALL),
@@ -493,17 +504,16 @@ al AS (SELECT tau_empty, tau_abs, alpha, coalesce(n_pred, 0)::DOUBLE AS n_pred,
 SELECT tau_empty::DOUBLE AS tau_empty, tau_abs::DOUBLE AS tau_abs, alpha::DOUBLE AS alpha, round(avg({sql.F_BETA}), 6) AS macro_f FROM al GROUP BY ALL""".replace("count(l.cand_id) AS tp", "count(l.y) AS tp"))
 def threshold_grid(spark, sf):
     links, entities = truth(spark, sf)
-    grid = spark.createDataFrame([(e, a, x) for e in (0.2, 0.5, 0.8) for a in (0.2, 0.5) if a <= e for x in (0.0, 0.6, 0.9)], "tau_empty double, tau_abs double, alpha double")
-    return decide.scored_grid(scored_pairs(spark, sf), entities, links, grid).withColumn("macro_f", F.round("macro_f", 6))
+    return decide.scored_grid(scored_pairs(spark, sf), entities, links, decide.knob_grid(spark)).withColumn("macro_f", F.round("macro_f", 6))
 
 
-_GAMMA = "gp AS (SELECT * FROM pairs, (VALUES (0.9), (1.15), (1.5)) g(gamma))"
+_GAMMA = f"gp AS (SELECT * FROM pairs, (SELECT unnest({decide.GAMMAS}::DOUBLE[]) AS gamma))"
 
 
 @query(f"{sql.PAIRS}, {sql.LINKS}, {_GAMMA},{sql.expected('gamma', 'best > none', 'gp', 'source1_entity_id, gamma')}, np AS (SELECT gamma, source1_entity_id, count(*) AS n_pred, count(y) AS tp FROM ef LEFT JOIN (SELECT source1_entity_id, cand_id, 1 AS y FROM links) USING (source1_entity_id, cand_id) GROUP BY ALL), nt AS (SELECT source1_entity_id, count(*) AS n_true FROM links GROUP BY ALL), al AS (SELECT gamma, coalesce(n_pred, 0)::DOUBLE AS n_pred, coalesce(tp, 0)::DOUBLE AS tp, coalesce(n_true, 0)::DOUBLE AS n_true FROM (SELECT DISTINCT gamma FROM gp) CROSS JOIN ents LEFT JOIN np USING (gamma, source1_entity_id) LEFT JOIN nt USING (source1_entity_id)) SELECT gamma::DOUBLE AS gamma, round(avg({sql.F_BETA}), 6) AS macro_f FROM al GROUP BY ALL")
 def gamma_grid(spark, sf):
     links, entities = truth(spark, sf)
-    return decide.gamma_scores(scored_pairs(spark, sf), entities, links, [0.9, 1.15, 1.5]).withColumn("macro_f", F.round("macro_f", 6))
+    return decide.gamma_scores(scored_pairs(spark, sf), entities, links).withColumn("macro_f", F.round("macro_f", 6))
 
 
 @query()
@@ -568,6 +578,19 @@ def profile_sizes(spark, sf):
     return metrics.profile_sizes(*truth(spark, sf))
 
 
+@query(f"""WITH {sql.RAW}, rec AS (SELECT * FROM raw), {sql.LINKS}, k AS (SELECT e.source1_entity_id, count(l.cand_id) AS k FROM ents e LEFT JOIN links l ON l.source1_entity_id = e.source1_entity_id GROUP BY ALL)
+SELECT country_key, count(*) AS n_entities, round(avg((k = 0)::INT::DOUBLE), 6) AS singleton_rate, round(avg(k), 6) AS mean_links, max(k) AS max_links FROM k JOIN raw ON entity_id = source1_entity_id GROUP BY country_key""")
+def profile_countries(spark, sf):
+    links, _ = truth(spark, sf)
+    entities = sides(raw(spark, sf))[0].select(F.col("entity_id").alias("source1_entity_id"), "country_key")
+    return metrics.profile_countries(links, entities).withColumns({c: F.round(c, 6) for c in ("singleton_rate", "mean_links")})
+
+
+@query(f"{sql.PAIRS} SELECT source1_entity_id, cand_id, round(prob, 6) AS prob FROM pairs WHERE prob >= 0.5 * least(0.425::DOUBLE, 0.6::DOUBLE)")
+def floored_pairs(spark, sf):
+    return scored_pairs(spark, sf).where(F.col("prob") >= decide.probability_floor(decide.Knobs())).select(*PAIR, F.round("prob", 6).alias("prob"))
+
+
 @query(f"""{_THRESHOLD}, m AS (SELECT source1_entity_id, string_agg(cand_id, ',' ORDER BY cand_id) AS a FROM th GROUP BY ALL), c AS (SELECT source1_entity_id, string_agg(cand_id, ',' ORDER BY cand_id) AS b FROM pairs GROUP BY ALL)
 SELECT source1_entity_id, coalesce(a, '') AS matched_entity_ids, coalesce(b, '') AS candidate_entity_ids FROM ents LEFT JOIN m USING (source1_entity_id) LEFT JOIN c USING (source1_entity_id)""")
 def result_lists(spark, sf):

@@ -30,10 +30,10 @@ def norm_name(c: str) -> str:
 
 
 def skeleton(x: str) -> str:
-    for a, b in tables.DIGRAPHS:
+    """Written out here, so that the queries are not checked against their own table."""
+    for a, b in [("chh", "S"), ("sch", "S"), ("sh", "S"), ("ch", "S"), ("kh", "K"), ("gh", "K"), ("th", "T"), ("dh", "T"), ("ph", "P"), ("bh", "P"), ("ng", "N"), ("ny", "N")]:
         x = f"replace({x}, '{a}', '{b}')"
-    letters = "".join(tables.FOLDS.values()) + tables.SILENT
-    x = f"translate({x}, '{letters}', '{''.join(k * len(v) for k, v in tables.FOLDS.items())}')"
+    x = f"translate({x}, 'kgqcxpbfvwtdsjzlrmnyhaeiou', 'KKKKKPPPPPTTSSSLLMM')"
     for c in ["S", "K", "T", "P", "N", "L", "M", *"0123456789", " "]:
         x = f"regexp_replace({x}, '{c}{c}+', '{c}', 'g')"
     return f"trim({x})"
@@ -129,3 +129,32 @@ e2 AS (SELECT *, 1.25 * (tpk / k) * (tpk / greatest({gamma} * total, 1e-9)) / (0
 e3 AS (SELECT *, max(fk) OVER (PARTITION BY {by}) AS best FROM e2),
 e4 AS (SELECT *, max(CASE WHEN fk >= best - 1e-12 THEN k END) OVER (PARTITION BY {by}) AS last FROM e3),
 ef AS MATERIALIZED (SELECT * FROM e4 WHERE k <= last AND {some})"""
+
+
+def lcs(a: str, b: str) -> str:
+    """Length of the longest common subsequence, with a bit per character of the shorter string: a number of 128 bits, or the dynamic programme's rows where it has more than 120."""
+    cell = f"CASE WHEN ({a})[j[1]:j[1]] = ({b})[i[1]:i[1]] THEN rw[j[1]] + 1 ELSE greatest(rw[j[1] + 1], acc[j[1]]) END"
+    places = lambda s: f"list_transform(range(1, len({s}) + 1), lambda k: [k])"
+    row = f"list_reduce({places(a)}, lambda acc, j: list_append(acc, {cell}), [0::BIGINT])"
+    long = f"list_reduce({places(b)}, lambda rw, i: {row}, list_transform(range(0, len({a}) + 1), lambda k: 0::BIGINT))[-1]"
+    x, y = f"(CASE WHEN len({a}) <= len({b}) THEN {a} ELSE {b} END)", f"(CASE WHEN len({a}) <= len({b}) THEN {b} ELSE {a} END)"
+    full = f"((1::HUGEINT << len({x})::INT) - 1)"
+    mask = f"list_sum(list_transform(range(0, len({x})), lambda k: CASE WHEN {x}[k + 1:k + 1] = {y}[i:i] THEN 1::HUGEINT << k::INT ELSE 0::HUGEINT END))::HUGEINT"
+    left = f"list_reduce(list_transform(range(1, len({y}) + 1), lambda i: {mask}), lambda rw, m: ((rw + (rw & m)) | (rw - (rw & m))) & {full}, {full})"
+    return f"CASE WHEN least(len({a}), len({b})) > 120 THEN {long} ELSE len({x}) - bit_count({left}) END"
+
+
+def ratio(a: str, b: str) -> str:
+    return f"CASE WHEN {a} = {b} THEN 100.0::DOUBLE WHEN len({a}) = 0 OR len({b}) = 0 THEN 0.0 ELSE 200.0 * ({lcs(a, b)}) / (len({a}) + len({b})) END"
+
+
+def kernels(source: str, a: str, b: str, name: str) -> str:
+    """CTEs ending in <name>(a, b, ratio, token_sort, token_set) over the distinct pairs of strings in `source`."""
+    words = lambda x: f"list_filter(string_split({x}, ' '), lambda t: t <> '')"
+    text = lambda x: f"array_to_string({x}, ' ')"
+    return f"""
+{name}_t AS MATERIALIZED (SELECT {a}, {b}, list_sort(list_distinct({words(a)})) AS x, list_sort(list_distinct({words(b)})) AS y, {text(f"list_sort({words(a)})")} AS xs, {text(f"list_sort({words(b)})")} AS ys FROM {source}),
+{name}_d AS MATERIALIZED (SELECT *, {text("list_filter(x, lambda t: list_contains(y, t))")} AS common, {text("list_filter(x, lambda t: NOT list_contains(y, t))")} AS first_only, {text("list_filter(y, lambda t: NOT list_contains(x, t))")} AS second_only FROM {name}_t),
+{name}_e AS MATERIALIZED (SELECT *, trim(common || ' ' || first_only) AS one, trim(common || ' ' || second_only) AS two FROM {name}_d),
+{name} AS MATERIALIZED (SELECT {a}, {b}, {ratio(a, b)} AS ratio, {ratio('xs', 'ys')} AS token_sort,
+  CASE WHEN len(x) = 0 OR len(y) = 0 THEN 0.0 WHEN common <> '' AND (first_only = '' OR second_only = '') THEN 100.0 WHEN common <> '' THEN greatest({ratio('one', 'two')}, {ratio('common', 'one')}, {ratio('common', 'two')}) ELSE {ratio('one', 'two')} END AS token_set FROM {name}_e)"""
