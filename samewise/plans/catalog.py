@@ -242,7 +242,7 @@ def smooth_idf(spark, sf):
 
 
 @query(f"""{sql.FORWARD}, {sql.top('wide', 20)}, wp AS (SELECT w.*, a.s_name AS sa, b.s_name AS sb, a.n_addr AS aa, b.n_addr AS ab FROM wide w JOIN rec a ON a.entity_id = source1_entity_id JOIN rec b ON b.entity_id = cand_id),
-sp AS (SELECT DISTINCT sa, sb FROM wp), {sql.kernels('sp', 'sa', 'sb', 'ks')}, ap AS (SELECT DISTINCT aa, ab FROM wp), {sql.kernels('ap', 'aa', 'ab', 'ka')},
+sp AS (SELECT DISTINCT sa, sb FROM wp), {sql.kernels('sp', 'sa', 'sb', 'ks', False)}, ap AS (SELECT DISTINCT aa, ab FROM wp), {sql.kernels('ap', 'aa', 'ab', 'ka', False)},
 z AS (SELECT source1_entity_id, cand_id, round(greatest(ks.token_set, ka.token_set) + 0.35 * least(ks.token_set, ka.token_set) + 0.05 * 100.0 * sim_block, 6) AS sim_block FROM wp JOIN ks USING (sa, sb) JOIN ka USING (aa, ab))
 SELECT * FROM z QUALIFY row_number() OVER (PARTITION BY source1_entity_id ORDER BY sim_block DESC, cand_id) <= 5""")
 def rescored_topk(spark, sf):
@@ -434,6 +434,30 @@ def sibling_support(spark, sf):
     return out.select(*PAIR, F.round("sib_max", 6).alias("sib_max"), F.round("sib_sum", 6).alias("sib_sum"), "sib_cnt", F.round("sib_sim", 6).alias("sib_sim"))
 
 
+_FUZZY = f"""{sql.PAIRS}, kk AS (SELECT p.*, s_name AS sn, n_addr AS na, row_number() OVER (PARTITION BY source1_entity_id ORDER BY @by DESC, cand_id) AS k FROM pairs p JOIN rec ON entity_id = cand_id QUALIFY k <= @top),
+t0 AS MATERIALIZED (SELECT source1_entity_id, a.cand_id, a.sn AS s1, b.sn AS s2, a.na AS a1, b.na AS a2, b.@by AS other FROM kk a JOIN kk b USING (source1_entity_id) WHERE a.cand_id <> b.cand_id),
+sp AS (SELECT DISTINCT s1, s2 FROM t0), {sql.kernels('sp', 's1', 's2', 'ks', False)}, ap AS (SELECT DISTINCT a1, a2 FROM t0), {sql.kernels('ap', 'a1', 'a2', 'ka', False)},
+tw AS (SELECT source1_entity_id, cand_id, greatest(ks.token_set, ka.token_set) AS sim, other FROM t0 JOIN ks USING (s1, s2) JOIN ka USING (a1, a2))"""
+
+
+def sibling_pairs(spark, sf):
+    """Scored pairs with the skeleton and the address of the candidate."""
+    own = records(spark, sf).select(F.col("entity_id").alias("cand_id"), "s_name", "n_addr")
+    return scored_pairs(spark, sf).join(own, "cand_id")
+
+
+@query(f"{_FUZZY.replace('@by', 'sim_block').replace('@top', '16')}, dg AS (SELECT source1_entity_id, cand_id, count(*) AS deg, sum(other) AS mass FROM tw WHERE sim >= 85 GROUP BY ALL) SELECT source1_entity_id, cand_id, coalesce(deg, 0) AS clus_deg, round(coalesce(mass, 0), 6) AS clus_mass, round(coalesce(deg, 0) / greatest(least(count(*) OVER (PARTITION BY source1_entity_id), 16) - 1, 1), 6) AS clus_deg_rel FROM pairs LEFT JOIN dg USING (source1_entity_id, cand_id)")
+def cluster_support_fuzzy(spark, sf):
+    out = cluster.support(sibling_pairs(spark, sf))
+    return out.select(*PAIR, "clus_deg", F.round("clus_mass", 6).alias("clus_mass"), F.round("clus_deg_rel", 6).alias("clus_deg_rel"))
+
+
+@query(f"{_FUZZY.replace('@by', 'prob').replace('@top', '12')}, sg AS (SELECT source1_entity_id, cand_id, max(sim / 100 * other) AS a, sum(sim / 100 * other) AS b, count(*) FILTER (sim >= 85 AND other >= 0.5) AS c, max(sim) AS d FROM tw GROUP BY ALL) SELECT source1_entity_id, cand_id, round(coalesce(a, 0), 6) AS sib_max, round(coalesce(b, 0), 6) AS sib_sum, coalesce(c, 0) AS sib_cnt, round(coalesce(d, 0), 6) AS sib_sim FROM pairs LEFT JOIN sg USING (source1_entity_id, cand_id)")
+def sibling_support_fuzzy(spark, sf):
+    out = cluster.sibling_support(sibling_pairs(spark, sf), p="prob")
+    return out.select(*PAIR, F.round("sib_max", 6).alias("sib_max"), F.round("sib_sum", 6).alias("sib_sum"), "sib_cnt", F.round("sib_sim", 6).alias("sib_sim"))
+
+
 @query("""WITH RECURSIVE n AS (SELECT DISTINCT doc_id AS id FROM documents), g AS (SELECT text, min(doc_id) AS a FROM documents GROUP BY text), e AS (SELECT g.a, d.doc_id AS b FROM documents d JOIN g USING (text) WHERE g.a <> d.doc_id), both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 r(id, reach) AS (SELECT id, id FROM n UNION SELECT r.id, b FROM r JOIN both_ways ON a = reach) SELECT id, min(reach) AS component FROM r GROUP BY id""")
 def components(spark, sf):
@@ -444,10 +468,19 @@ def components(spark, sf):
     return cluster.components(e, d)
 
 
-@query()
+_RULE = f"""{sql.PAIRS.replace('WITH', 'WITH RECURSIVE', 1)}, kk AS MATERIALIZED (SELECT p.*, s_name AS sn, n_addr AS na, row_number() OVER (PARTITION BY source1_entity_id ORDER BY prob DESC, cand_id) AS k, max(prob) OVER (PARTITION BY source1_entity_id) AS top FROM pairs p JOIN rec ON entity_id = cand_id WHERE prob >= 0.05 QUALIFY k <= 12 AND top >= 0.6),
+t0 AS MATERIALIZED (SELECT a.source1_entity_id AS e, a.k AS x, b.k AS y, a.sn AS s1, b.sn AS s2, a.na AS a1, b.na AS a2 FROM kk a JOIN kk b USING (source1_entity_id) WHERE a.k <> b.k),
+sp AS (SELECT DISTINCT s1, s2 FROM t0), {sql.kernels('sp', 's1', 's2', 'ks', False)}, ap AS (SELECT DISTINCT a1, a2 FROM t0), {sql.kernels('ap', 'a1', 'a2', 'ka', False)},
+ed AS MATERIALIZED (SELECT e, x, y FROM t0 JOIN ks USING (s1, s2) JOIN ka USING (a1, a2) WHERE greatest(ks.token_set, ka.token_set) >= 85),
+rc(e, x, y) AS (SELECT source1_entity_id, k, k FROM kk UNION SELECT rc.e, rc.x, ed.y FROM rc JOIN ed ON ed.e = rc.e AND ed.x = rc.y),
+lb AS (SELECT e, x, min(y) AS label FROM rc GROUP BY e, x), ms AS (SELECT e, label, sum(prob) AS mass FROM lb JOIN kk ON source1_entity_id = e AND k = x GROUP BY ALL),
+ch AS (SELECT e, label FROM ms QUALIFY row_number() OVER (PARTITION BY e ORDER BY round(mass, 9) DESC, label) = 1)
+SELECT source1_entity_id, cand_id FROM kk JOIN lb ON e = source1_entity_id AND x = k JOIN ch USING (e, label) WHERE prob >= 0.15"""
+
+
+@query(_RULE)
 def cluster_rule(spark, sf):
-    r = records(spark, sf).select(F.col("entity_id").alias("cand_id"), "s_name", "n_addr")
-    return cluster.whole_cluster(scored_pairs(spark, sf).join(r, "cand_id"))
+    return cluster.whole_cluster(sibling_pairs(spark, sf))
 
 
 @query()

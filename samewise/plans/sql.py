@@ -148,13 +148,14 @@ def ratio(a: str, b: str) -> str:
     return f"CASE WHEN {a} = {b} THEN 100.0::DOUBLE WHEN len({a}) = 0 OR len({b}) = 0 THEN 0.0 ELSE 200.0 * ({lcs(a, b)}) / (len({a}) + len({b})) END"
 
 
-def kernels(source: str, a: str, b: str, name: str) -> str:
-    """CTEs ending in <name>(a, b, ratio, token_sort, token_set) over the distinct pairs of strings in `source`."""
+def kernels(source: str, a: str, b: str, name: str, whole: bool = True) -> str:
+    """CTEs ending in <name>(a, b, token_set), and (ratio, token_sort) if `whole`, over the distinct pairs of strings in `source`."""
+    plain = f"{ratio(a, b)} AS ratio, {ratio('xs', 'ys')} AS token_sort," if whole else ""
     words = lambda x: f"list_filter(string_split({x}, ' '), lambda t: t <> '')"
     text = lambda x: f"array_to_string({x}, ' ')"
     return f"""
 {name}_t AS MATERIALIZED (SELECT {a}, {b}, list_sort(list_distinct({words(a)})) AS x, list_sort(list_distinct({words(b)})) AS y, {text(f"list_sort({words(a)})")} AS xs, {text(f"list_sort({words(b)})")} AS ys FROM {source}),
 {name}_d AS MATERIALIZED (SELECT *, {text("list_filter(x, lambda t: list_contains(y, t))")} AS common, {text("list_filter(x, lambda t: NOT list_contains(y, t))")} AS first_only, {text("list_filter(y, lambda t: NOT list_contains(x, t))")} AS second_only FROM {name}_t),
 {name}_e AS MATERIALIZED (SELECT *, trim(common || ' ' || first_only) AS one, trim(common || ' ' || second_only) AS two FROM {name}_d),
-{name} AS MATERIALIZED (SELECT {a}, {b}, {ratio(a, b)} AS ratio, {ratio('xs', 'ys')} AS token_sort,
+{name} AS MATERIALIZED (SELECT {a}, {b}, {plain}
   CASE WHEN len(x) = 0 OR len(y) = 0 THEN 0.0 WHEN common <> '' AND (first_only = '' OR second_only = '') THEN 100.0 WHEN common <> '' THEN greatest({ratio('one', 'two')}, {ratio('common', 'one')}, {ratio('common', 'two')}) ELSE {ratio('one', 'two')} END AS token_set FROM {name}_e)"""
