@@ -200,7 +200,26 @@ def tfidf_topk(spark, sf):
     return tfidf.tfidf_top(a, b, "n_name", "word", k=5)
 
 
-@query()
+def _tfidf(v: str, grams: str) -> str:
+    """CTEs ending in <v>(l, r, s): the five best by TF-IDF cosine over the grams of a record."""
+    return f"""
+{v}_t AS (SELECT entity_id, country_key, unnest({grams}) AS term FROM rec),
+{v}_d AS (SELECT term, ln((1.0 + (SELECT count(*) FROM rec)) / (1.0 + count(DISTINCT entity_id))) + 1 AS idf FROM {v}_t GROUP BY term HAVING count(DISTINCT entity_id) >= 2),
+{v}_v AS (SELECT entity_id, country_key, term, (1 + ln(count(*))) * any_value(idf) AS w FROM {v}_t JOIN {v}_d USING (term) GROUP BY ALL),
+{v}_u AS (SELECT entity_id, country_key, term, w / sqrt(sum(w * w) OVER (PARTITION BY entity_id)) AS w FROM {v}_v),
+{v}_s AS (SELECT a.entity_id AS l, b.entity_id AS r, round(sum(a.w * b.w), 6) AS s FROM {v}_u a JOIN {v}_u b USING (country_key, term) WHERE a.entity_id LIKE 'S1-%' AND b.entity_id NOT LIKE 'S1-%' GROUP BY ALL),
+{v} AS MATERIALIZED (SELECT l, r, s FROM {v}_s WHERE s >= 0.05 QUALIFY row_number() OVER (PARTITION BY l ORDER BY s DESC, r) <= 5)"""
+
+
+_WB3 = "flatten(list_transform({0}, lambda t: list_transform(range(1, len(t) + 1), lambda i: (' ' || t || ' ')[i:i + 2])))"
+_NOSPACE = "replace(n_name, ' ', '')"
+_CHAR3 = f"CASE WHEN len({_NOSPACE}) >= 3 THEN list_transform(range(1, len({_NOSPACE}) - 1), lambda i: {_NOSPACE}[i:i + 2]) WHEN len({_NOSPACE}) > 0 THEN [{_NOSPACE}] ELSE [] END"
+_GRAMS = {"name": _WB3.format(sql.tokens("n_name")), "nospace": _CHAR3, "addr": f"list_filter({sql.tokens('n_addr')}, lambda t: len(t) >= 2)", "hybrid": _WB3.format(sql.tokens("(n_name || ' ' || n_addr)"))}
+
+
+@query(f"""WITH {sql.RECORDS},{','.join(_tfidf(f'tv_{v}', g) for v, g in _GRAMS.items())}, al AS ({' UNION '.join(f'SELECT l, r FROM tv_{v}' for v in _GRAMS)})
+SELECT al.l AS source1_entity_id, al.r AS cand_id, {', '.join(f'coalesce({v}.s, 0) AS sim_{v}' for v in _GRAMS)}, greatest({', '.join(f'coalesce({v}.s, 0)' for v in _GRAMS)}) AS sim_block, {' + '.join(f'(coalesce({v}.s, 0) > 0)::BIGINT' for v in _GRAMS)} AS n_views
+FROM al {' '.join(f'LEFT JOIN tv_{v} {v} ON al.l = {v}.l AND al.r = {v}.r' for v in _GRAMS)}""")
 def tfidf_char_views(spark, sf):
     a, b = sides(records(spark, sf))
     found = [tfidf.tfidf_top(a, b, c, how, k=5).select(*PAIR, F.col("sim").alias("sim_block"), F.lit(0).alias("rank"), F.lit(v).alias("view")) for v, c, how in (("name", "n_name", "char_wb3"), ("nospace", "n_name", "char3"), ("addr", "n_addr", "word"), ("hybrid", "blob", "char_wb3"))]
@@ -404,12 +423,6 @@ def embedding_pairs(spark, sf):
     return features.embedding_cosine(scored_pairs(spark, sf), e).select(*PAIR, F.round("emb_cos", 6).alias("emb_cos"))
 
 
-@query()
-def stacked_features(spark, sf):
-    r = records(spark, sf).select(F.col("entity_id").alias("cand_id"), "s_name", "n_addr")
-    return model.stacked(scored_pairs(spark, sf).withColumnRenamed("prob", "p1").join(r, "cand_id")).select(*PAIR, *model.STACKED)
-
-
 @query()
 def early_features(spark, sf):
     return features.early_features(scored_pairs(spark, sf).drop("prob"), records(spark, sf))
@@ -468,6 +481,14 @@ def components(spark, sf):
     return cluster.components(e, d)
 
 
+@query(f"""{_FUZZY.replace('@by', 'prob').replace('@top', '12')}, sg AS (SELECT source1_entity_id, cand_id, max(sim / 100 * other) AS a, sum(sim / 100 * other) AS b, count(*) FILTER (sim >= 85 AND other >= 0.5) AS c, max(sim) AS d FROM tw GROUP BY ALL)
+SELECT source1_entity_id, cand_id, round(prob, 6) AS p1, round(coalesce(a, 0), 6) AS sib_max, round(coalesce(b, 0), 6) AS sib_sum, coalesce(c, 0) AS sib_cnt, round(coalesce(d, 0), 6) AS sib_sim,
+ round(prob / greatest(max(prob) OVER e, 1e-6), 6) AS p1_rel, round(max(prob) OVER e - prob, 6) AS p1_gap, round(sum(prob) OVER e, 6) AS p1_mass FROM pairs LEFT JOIN sg USING (source1_entity_id, cand_id) WINDOW e AS (PARTITION BY source1_entity_id)""")
+def stacked_features(spark, sf):
+    out = model.stacked(sibling_pairs(spark, sf).withColumnRenamed("prob", "p1"))
+    return out.select(*PAIR, *[F.round(c, 6).alias(c) if c != "sib_cnt" else F.col(c) for c in model.STACKED])
+
+
 _RULE = f"""{sql.PAIRS.replace('WITH', 'WITH RECURSIVE', 1)}, kk AS MATERIALIZED (SELECT p.*, s_name AS sn, n_addr AS na, row_number() OVER (PARTITION BY source1_entity_id ORDER BY prob DESC, cand_id) AS k, max(prob) OVER (PARTITION BY source1_entity_id) AS top FROM pairs p JOIN rec ON entity_id = cand_id WHERE prob >= 0.05 QUALIFY k <= 12 AND top >= 0.6),
 t0 AS MATERIALIZED (SELECT a.source1_entity_id AS e, a.k AS x, b.k AS y, a.sn AS s1, b.sn AS s2, a.na AS a1, b.na AS a2 FROM kk a JOIN kk b USING (source1_entity_id) WHERE a.k <> b.k),
 sp AS (SELECT DISTINCT s1, s2 FROM t0), {sql.kernels('sp', 's1', 's2', 'ks', False)}, ap AS (SELECT DISTINCT a1, a2 FROM t0), {sql.kernels('ap', 'a1', 'a2', 'ka', False)},
