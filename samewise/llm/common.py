@@ -23,7 +23,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage in the shared folder the cluster names in spark.checkpoint.dir.
 
-    Only where that setting is absent (a single machine, as in tests) is a folder made here.
+    Only where that setting is absent on a single machine (as in tests) is a folder made here; elsewhere that is an error.
     """
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
@@ -33,6 +33,8 @@ def shared_folder(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
