@@ -11,12 +11,12 @@ Texts whose word shingles are alike (near_texts) need a radius so wide that no b
 shingles instead: in any one order of all shingles, two sets of similarity 0.8 or more share one among the first
 fifth (and one) of each. The order puts shingles that a sketch of the corpus has seen often last; it decides what
 meets, never what is found. Where texts meet, the same planes and counters compare their fingerprints, first
-with the one next to the majority of all, then with all that are not yet joined; whole sets confirm the links.
+with the one next to the majority of all, then those that are left with all others. What is joined so is a group of candidates, in
+which whole sets are compared; each text goes to the one group it is in, whatever the number of its pairs.
 """
 
 from __future__ import annotations
 
-from collections import OrderedDict
 from collections.abc import Iterator
 from itertools import accumulate, combinations
 
@@ -36,6 +36,9 @@ WORDS, OVER, UNDER, WIDE = 5, 4, 5, 24
 #: Slots of the sketch of shingles, slots that a task reports at most, and members of one row of a meeting.
 SLOTS, MOST_HOT, BLOCK = 1 << 20, 20_000, 4096
 MEMBERS = "array<struct<c: long, fp: long, n: long>>"
+#: More bits of each class, for a second look at pairs by 64-bit words, and how many of them may differ: four deviations
+#: above the mean of the smallest sets at the least similarity. Shingles of the texts of a part of a group of candidates.
+MORE, FARTHEST, MOST_SHINGLES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9), 58, 150_000
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED, at_once: int = 1 << 16) -> int:
@@ -102,12 +105,12 @@ class Counters:
         self.planes, self.over = [p[of] for p in self.planes], self.over[of]
 
 
-def links(fps: np.ndarray, radius: int = RADIUS, at_once: int = 256) -> Iterator[tuple[int, np.ndarray]]:
-    """For each fingerprint with any, the indices after its own of those at most `radius` bits away."""
+def links(fps: np.ndarray, radius: int = RADIUS, at_once: int = 256, first: int | None = None) -> Iterator[tuple[int, np.ndarray]]:
+    """For each fingerprint (of the `first` ones) with any, the indices after its own of those at most `radius` bits away."""
     planes = planes_of(fps)
-    order = np.arange(64)
-    for q0 in range(0, len(fps), at_once):
-        queries = np.arange(q0, min(q0 + at_once, len(fps)))
+    order, until = np.arange(64), len(fps) if first is None else first
+    for q0 in range(0, until, at_once):
+        queries = np.arange(q0, min(q0 + at_once, until))
         words = np.arange(q0 // 64, planes.shape[1])
         flip = np.where((fps[queries][None, :] >> order[:, None].astype(np.uint64)) & np.uint64(1), FULL, np.uint64(0))
         own = planes[:, words]
@@ -220,11 +223,6 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(np.fromiter((xxh64_intdigest(joined[i : j - 1], SEED) for i, j in zip(starts, ends)), np.uint64, len(ends)))
 
 
-def alike(a: np.ndarray, b: np.ndarray) -> bool:
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return UNDER * both >= OVER * (len(a) + len(b) - both)
-
-
 def fits(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     """Whether sets of these sizes can be alike."""
     return UNDER * np.minimum(n, m) >= OVER * np.maximum(n, m)
@@ -242,25 +240,30 @@ def majority(own: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(own), bitorder="little").tobytes(), "little")
 
 
+def more_bits(own: np.ndarray) -> list[int]:
+    """Fingerprints of the same set by other hashes."""
+    mixed = ((own ^ (own >> np.uint64(29))) * np.uint64(odd) for odd in MORE)
+    return [majority(x ^ (x >> np.uint64(32))) for x in mixed]
+
+
 def longs(values: list[int]) -> pa.Array:
     return pa.array(np.array(values, np.uint64).view(np.int64))
 
 
 def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, t, c): c the digest of the set; at the end (slot, n) of the slots that the task saw most."""
-    names, seen, total = ["doc_id", "t", "c", "slot", "n"], np.zeros(SLOTS, np.int64), 0
+    """Rows (doc_id, t, c, n, f0, f1, f2): c the digest of the set, n its size, more bits; at the end (slot, n) of the slots that the task saw most."""
+    names, seen, total = ["doc_id", "t", "c", "n", "f0", "f1", "f2", "slot"], np.zeros(SLOTS, np.int64), 0
     for batch in pieces(batches, "text"):
-        c = []
+        found = []
         for text in batch.column("text").to_pylist():
             own = shingles(text)
-            c.append(digest(own))
+            found.append((digest(own), len(own), *more_bits(own)))
             np.add.at(seen, (own & np.uint64(SLOTS - 1)).astype(np.int64), 1)
             total += len(own)
-        none = pa.nulls(len(c), pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("t"), longs(c), none, none], names)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("t"), *map(longs, zip(*found)), pa.nulls(len(found), pa.int64())], names)
     hot = np.flatnonzero(seen >= 16 + 4 * total // SLOTS)
     none = pa.nulls(len(hot), pa.int64())
-    yield pa.RecordBatch.from_arrays([none, none, none, pa.array(hot), pa.array(seen[hot])], names)
+    yield pa.RecordBatch.from_arrays([none, none, none, pa.array(seen[hot]), none, none, none, pa.array(hot)], names)
 
 
 def prefixes(docs: DataFrame, hot: list[tuple[int, int]]) -> DataFrame:
@@ -335,88 +338,89 @@ def lists_of(batch: pa.RecordBatch) -> tuple[np.ndarray, list[np.ndarray]]:
     return offsets - offsets[0], [flat.field(i).to_numpy(zero_copy_only=False) for i in range(flat.type.num_fields)]
 
 
-def pairs_of(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *x]).view(np.int64)) for x in (a, b)], ["a", "b"])
-
+def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) that join, in each list, just the members with a chain of pairs that may be alike between them.
 
-def stars(batches: Iterator[pa.RecordBatch], peels: int = 6) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b): in each list, a is the member next to the majority of the list's bits, b one within the radius.
-    Those that are left are a list again; after some rounds, each that is left goes with the first within the radius."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        offsets, (c, fp, n) = lists_of(batch)
-        fp, a, b = fp.view(np.uint64), [], []
-        at, group = np.arange(len(c)), np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-        for _ in range(peels):
-            begin = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
-            size = np.diff(np.append(begin, len(group)))
-            bits = np.unpackbits(fp[at].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            middle = np.packbits(2 * np.add.reduceat(bits, begin, axis=0, dtype=np.int64) > size[:, None], axis=1, bitorder="little").view("<u8").ravel()
-            apart = np.bitwise_count(fp[at] ^ np.repeat(middle, size)).astype(np.int64)
-            center = at[np.lexsort((c[at], apart, group))[begin]]
-            own = np.repeat(center, size)
-            near = within(fp[at], fp[own], WIDE) & fits(n[at], n[own])
-            taken = near & (at != own)
-            a.append(c[own[taken]])
-            b.append(c[at[taken]])
-            left = ~near
-            at, group = at[left], group[left]
-            many = np.bincount(group, minlength=1)[group] > 1 if len(group) else np.zeros(0, bool)
-            at, group = at[many], group[many]
-            if not len(at):
-                break
-        for own in np.split(at, np.flatnonzero(group[1:] != group[:-1]) + 1) if len(at) else ():
-            new = np.ones(len(own), bool)
-            for i, found in links(fp[own], WIDE):
-                found = found[new[found] & fits(n[own[found]], n[own[i]])]
-                new[found] = False
-                a.append(np.repeat(c[own[i]], len(found)))
-                b.append(c[own[found]])
-        yield pairs_of(a, b)
-
-
-def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All pairs (a, b) of members of a list that are within the radius and in different components k."""
+    Members near the one next to the majority of the list's bits go with it, in all lists of a batch at once; the others are compared with all.
+    """
     for batch in batches:
         if not batch.num_rows:
             continue
-        offsets, (c, fp, n, k) = lists_of(batch)
-        a, b = [], []
-        for own in map(slice, offsets, offsets[1:]):
-            for i, found in links(fp[own].view(np.uint64), WIDE):
-                found = found[(k[own][found] != k[own][i]) & fits(n[own][found], n[own][i])]
-                a.append(np.repeat(c[own][i], len(found)))
-                b.append(c[own][found])
-        yield pairs_of(a, b)
-
-
-def confirmed(pairs: DataFrame, docs: DataFrame, first: DataFrame) -> DataFrame:
-    """Of pairs (a, b) of classes, those alike by their whole sets. first: (c, i, h), a document (id and hash of its text) of each class.
-
-    Only texts of classes in a pair are read for this, each once; a pair's two texts meet in two joins that Spark can split.
+        offsets, (c, fp, n, *more) = lists_of(batch)
+        fp, more = fp.view(np.uint64), np.array(more, np.int64).view(np.uint64)
+        begin, size = offsets[:-1].astype(np.int64), np.diff(offsets)
+
+        def alike_at_all(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            return fits(n[i], n[j]) & (np.bitwise_count(more[:, i] ^ more[:, j]).sum(axis=0, dtype=np.int64) <= FARTHEST)
+
+        group = np.repeat(np.arange(len(size)), size)
+        bits = np.unpackbits(fp.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        middle = np.packbits(2 * np.add.reduceat(bits, begin, axis=0, dtype=np.int64) > size[:, None], axis=1, bitorder="little").view("<u8").ravel()
+        center = np.lexsort((c, np.bitwise_count(fp ^ middle[group]), group))[begin]
+        own = center[group]
+        near = within(fp, fp[own], WIDE) & alike_at_all(np.arange(len(c)), own)
+        near[center] = True
+        taken = near & (own != np.arange(len(c)))
+        a, b = [c[own[taken]]], [c[taken]]
+        for g in np.flatnonzero((size > 2) & (np.bincount(group[~near], minlength=len(size)) > 0)).tolist():
+            at = np.arange(begin[g], begin[g] + size[g])
+            at, joined = np.append(at[~near[at]], at[near[at]]), near[at].sum()
+            label = np.arange(len(at))
+            label[len(at) - joined :] = len(at) - joined
+            for i, found in links(fp[at], WIDE, first=len(at) - int(joined)):
+                found = found[alike_at_all(at[found], np.full(len(found), at[i]))]
+                for j in np.unique(label[found]).tolist():
+                    if j != label[i]:
+                        a.append(c[at[[i]]])
+                        b.append(c[at[[j]]])
+                        label[label == j] = label[i]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (a, b)], ["a", "b"])
+
+
+def texts_of(need: DataFrame, docs: DataFrame) -> DataFrame:
+    """(c, text): a text of each class. The other texts are read past: they are shuffled only if the classes are too many to broadcast."""
+    texts = checkpointed(docs.join(small(need.select("c", "i", "h")), F.expr("doc_id = i AND t = h")).select("c", "text"))
+    return texts if texts.count() == need.count() else checkpointed(texts.groupBy("c").agg(F.min("text").alias("text")))
+
+
+def verify(rows: pa.Table) -> pa.Table:
+    """Links (a, b) that join all texts of a group (in its part q the smaller ones) whose whole sets are alike, each to the first of its set."""
+    rows = rows.sort_by("c")
+    c, own = rows.column("c").to_numpy(), [shingles(t) for t in rows.column("text").to_pylist()]
+    size = np.array([len(x) for x in own])
+    owner = np.repeat(np.arange(len(own)), size)
+    names, place = np.unique(np.concatenate([np.zeros(0, np.uint64), *own]), return_inverse=True)
+    order = np.argsort(place, kind="stable")
+    held, begin = owner[order], np.searchsorted(place[order], np.arange(len(names) + 1))
+    ends, label, a, b = np.append(0, np.cumsum(size)), np.arange(len(own)), [], []
+    for i in range(len(own)):
+        mine = place[ends[i] : ends[i + 1]]
+        lists = [held[begin[u] : begin[u + 1]] for u in mine if begin[u + 1] - begin[u] > 1]
+        if lists:
+            both = np.bincount(np.concatenate(lists), minlength=len(own))
+            found = np.flatnonzero(UNDER * both >= OVER * (size + size[i] - both))
+            found = found[(found > i) & (label[found] != label[i])]
+            for j in found.tolist():
+                if label[j] != label[i]:
+                    low, high = sorted((label[i], label[j]))
+                    label[label == high] = low
+                    a.append(c[i])
+                    b.append(c[j])
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def verified(groups: DataFrame, docs: DataFrame, first: DataFrame) -> DataFrame:
+    """Links that join the classes of each group of candidates (node, component) that are alike.
+
+    Groups of more than MOST_SHINGLES are cut in parts, and each two parts meet in a task of their own.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: OrderedDict[int, np.ndarray] = OrderedDict()
-
-        def of(c: int, text: pa.Scalar) -> np.ndarray:
-            if c not in held:
-                held[c] = shingles(text.as_py())
-                if len(held) > 64:
-                    held.popitem(last=False)
-            return held[c]
-
-        for batch in batches:
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            found = [alike(of(x, batch.column("ta")[i]), of(y, batch.column("tb")[i])) for i, (x, y) in enumerate(zip(a, b))]
-            yield batch.select(["a", "b"]).filter(pa.array(found, pa.bool_()))
-
-    classes = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
-    wanted = checkpointed(classes.join(first, "c"))
-    texts = checkpointed(docs.join(small(wanted), F.expr("doc_id = i AND t = h")).groupBy("c").agg(F.min("text").alias("text")))
-    both = pairs.join(texts.select(F.col("c").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("c").alias("a"), F.col("text").alias("ta")), "a")
-    return checkpointed(both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"))
+    need = checkpointed(groups.select(F.col("node").alias("c"), F.col("component").alias("k")).join(first, "c"))
+    texts = texts_of(need, docs)
+    large = need.groupBy("k").agg(F.ceil(F.sum("n") / MOST_SHINGLES).cast("int").alias("parts")).where("parts > 1").withColumnRenamed("k", "g")
+    dealt = need.select("c", "k").join(large, F.expr("k = g"), "left").withColumn("part", F.expr("pmod(xxhash64(c, k), coalesce(parts, 1))"))
+    other = F.expr("CASE WHEN parts IS NULL THEN array(0L) ELSE filter(sequence(0L, cast(parts - 1 AS long)), x -> x <> part) END")
+    dealt = dealt.select("k", "c", "part", F.explode(other).alias("other")).join(texts, "c")
+    return checkpointed(dealt.groupBy("k", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q")).applyInArrow(verify, "a long, b long"))
 
 
 def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -424,39 +428,29 @@ def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     between sets of WORDS-word shingles; t hashes the text. Where ids repeat, components can share their smallest id;
     `component` tells them apart.
 
-    Exact but for pairs beyond the radius (see WIDE) and equal 64-bit hashes. Texts without words, null ones among
+    Exact but for pairs beyond the radius (see WIDE and FARTHEST) and equal 64-bit hashes. Texts without words, null ones among
     them, are copies of each other. A null id links nothing and has no component. Repeated rows stay; other columns go.
     """
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text"))
-    rows = checkpointed(own.mapInArrow(classed, "doc_id long, t long, c long, slot long, n long"))
+    rows = checkpointed(own.mapInArrow(classed, "doc_id long, t long, c long, n long, f0 long, f1 long, f2 long, slot long"))
     hot = rows.where("slot IS NOT NULL").groupBy("slot").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "slot").limit(MOST_HOT).collect()
-    rows, known = rows.where("slot IS NULL").select("doc_id", "t", "c"), own.where("doc_id IS NOT NULL")
+    rows, known = rows.where("slot IS NULL"), own.where("doc_id IS NOT NULL")
     keys = prefixes(known, [(r["slot"], r["n"]) for r in hot])
-    lists = checkpointed(keys.repartition("key").sortWithinPartitions("key", "c").mapInArrow(met, f"key long, part int, m {MEMBERS}").distinct())
-    first = rows.where("doc_id IS NOT NULL").groupBy("c").agg(F.min(F.struct("doc_id", "t")).alias("r")).select("c", F.col("r.doc_id").alias("i"), F.col("r.t").alias("h"))
-
-    # each class goes with the one it met that is next to most others, if that is next to more than itself: a forest of a few levels
-    met_at = lists.select("m").mapInArrow(stars, "a long, b long").groupBy("a", "b").agg(F.count("*").alias("n"))
-    met_at = checkpointed(met_at)
-    weight = checkpointed(met_at.groupBy("a").agg(F.sum("n").alias("w")))
-    ends = met_at.select("a", "b").union(met_at.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    ranked = ends.join(weight.select("a", F.struct("w", "a").alias("p")), "a").join(weight.select(F.col("a").alias("b"), "w"), "b", "left")
-    best = ranked.where(F.col("p") > F.struct(F.coalesce("w", F.lit(0)).alias("w"), F.col("b").alias("a"))).groupBy("b").agg(F.max("p").alias("p"))
-    pairs = checkpointed(best.select("p.a", "b"))
-    linked = confirmed(pairs, known, first)
-    above = linked.select(F.col("b").alias("node"), F.col("a").alias("up"))
-    joined = checkpointed(above.join(linked.select(F.col("b").alias("up"), F.col("a").alias("top")), "up", "left").select("node", F.coalesce("top", "up").alias("component")))
-    # lists whose members are not all under one; parts of a key meet pairwise
-    lists = lists.select("key", "part", F.xxhash64("m").alias("own"), F.explode("m").alias("x"))
-    member = lists.join(joined, F.expr("x.c = node"), "left").select("key", "part", "own", F.expr("struct(x.c AS c, x.fp AS fp, x.n AS n, coalesce(component, x.c) AS k) AS x"))
-    apart = member.groupBy("key", "part", "own").agg(F.collect_list("x").alias("m"), F.min("x.k").alias("low"), F.max("x.k").alias("high"))
-    apart = checkpointed(apart.where("key IS NOT NULL OR low <> high").select("key", "part", "m"))
-    halves = apart.where("key IS NOT NULL")
-    crossed = halves.alias("x").join(halves.alias("y"), F.expr("x.key = y.key AND x.part < y.part")).select(F.expr("concat(x.m, y.m) AS m"))
-    rest = apart.select("m").union(crossed).mapInArrow(across, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = checkpointed(rest.join(tried, ["a", "b"], "left_anti"))
-    joined = components(linked if rest.isEmpty() else linked.union(confirmed(rest, known, first)))
+    lists = checkpointed(keys.repartition("key").sortWithinPartitions("key", "c").mapInArrow(met, f"key long, part int, m {MEMBERS}").select("key", "part", F.xxhash64("m").alias("own"), "m"))
+    parts = lists.where("key IS NOT NULL").select("key", "part", "own")
+    lists = checkpointed(lists.groupBy("own").agg(F.min("m").alias("m")))
+    least = F.min(F.struct("doc_id", "t", "n", "f0", "f1", "f2")).alias("r")
+    first = checkpointed(rows.where("doc_id IS NOT NULL").groupBy("c").agg(least).select("c", F.col("r.doc_id").alias("i"), F.col("r.t").alias("h"), "r.n", "r.f0", "r.f1", "r.f2"))
+
+    wide = F.struct("x.c", "x.fp", "x.n", "f0", "f1", "f2").alias("x")
+    member = lists.select("own", F.explode("m").alias("x")).join(first.select(F.col("c").alias("d"), "f0", "f1", "f2"), F.expr("x.c = d")).select("own", wide)
+    member = checkpointed(member.groupBy("own").agg(F.collect_list("x").alias("m")))
+    # parts of a key meet pairwise, each two once whatever the keys they share
+    two = parts.alias("x").join(parts.alias("y"), F.expr("x.key = y.key AND x.part < y.part")).select(F.least("x.own", "y.own").alias("p"), F.greatest("x.own", "y.own").alias("q")).distinct()
+    x, y = (member.select(F.col("own").alias(i), F.col("m").alias(f"m{i}")) for i in "pq")
+    crossed = two.join(x, "p").join(y, "q").select(F.concat("mp", "mq").alias("m"))
+    groups = components(member.select("m").union(crossed).mapInArrow(candidates, "a long, b long"))
+    joined = components(verified(checkpointed(groups), known, first))
     named = checkpointed(rows.join(joined, F.expr("c = node"), "left").selectExpr("doc_id", "t", "coalesce(component, c) AS k"))
     least = named.where("doc_id IS NOT NULL").groupBy("k").agg(F.min("doc_id").alias("component_id")).withColumnRenamed("k", "g")
     return named.join(least, F.expr("k = g"), "left").select(F.col("doc_id").alias(id_col), "t", F.col("k").alias("component"), "component_id")

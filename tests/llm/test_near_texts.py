@@ -93,3 +93,24 @@ def test_large_meetings_are_cut_in_blocks(spark, monkeypatch):
         assert len(x["m"]) <= 8 and x["part"] == len(by_key.setdefault(x["key"], [])) 
         by_key[x["key"]].append(member(x))
     assert {tuple(sum(v, [])) for v in by_key.values()} | {tuple(member(x)) for x in parts if x["key"] is None} >= {tuple(member(x)) for x in whole}
+
+
+def test_groups_of_candidates_and_whole_sets(spark, monkeypatch):
+    """A base and copies of it with few to many edits, in one part and in many."""
+    r = random.Random(31)
+    base = [f"w{i}" for i in range(90)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 120):
+        own = list(base)
+        for _ in range(r.randint(1, 6)):
+            own[r.randrange(90)] = f"x{r.randint(0, 10**6)}"
+        rows.append((i, " ".join(own)))
+    docs = documents(spark, [(i, t, "en", "s") for i, t in rows], extra=False)
+    want = brute_components(rows)
+    assert 10 < len(set(want.values())) < 110
+    assert {x["doc_id"]: x["component_id"] for x in simhash.near_texts(docs).collect()} == want
+    monkeypatch.setattr(simhash, "MOST_SHINGLES", 2000)
+    assert {x["doc_id"]: x["component_id"] for x in simhash.near_texts(docs).collect()} == want
+    table = pa.table({"c": [i for i, _ in rows], "text": [t for _, t in rows]})
+    links = list(zip(*simhash.verify(table).to_pydict().values()))
+    assert least_reachable([i for i, _ in rows], links) == want
