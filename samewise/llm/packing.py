@@ -181,7 +181,8 @@ def cut(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col: str
 def packed(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", salts: int = 256) -> DataFrame:
     """Rows (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset), one per piece.
 
-    A null or empty text is its end id alone. Repeated rows are pieces of their own. Other columns go. The
+    A null or empty text is its end id alone. Repeated rows are pieces of their own, and ties in a rank go by id, place and digest.
+    An empty table gives an empty one. Other columns go, whatever their names. The
     tokenized pieces are checkpointed (a few numbers each), since their histogram comes before their
     places; the driver sees the histogram, at most capacity rows, and nothing else.
     """

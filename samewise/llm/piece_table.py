@@ -161,7 +161,7 @@ def encode_decode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text
     """Rows (id_col, ids array<int>, decoded string) of whole texts; null counts as empty.
 
     One narrow pass over the scan, no shuffle. An empty text has no ids and decodes to an empty one.
-    Repeated rows stay, other columns go, whatever their names. The model's path must exist on every worker.
+    Repeated rows stay, an empty table gives an empty one, other columns go, whatever their names. The model's path must exist on every worker.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -86,7 +86,8 @@ def scanned(docs: DataFrame, table: list[float] | None = None, least_ratio: floa
     """Rows (id_col, *keep, base, all): arrays of (start, kind, end), ordered; kind is a place in KINDS, or 3 for markov.
 
     Null texts count as empty. Base matches are leftmost and do not overlap within a kind; kinds may
-    overlap each other. Random tokens that a base match covers are not added again. Repeated rows stay.
+    overlap each other. Random tokens that a base match covers are not added again. Repeated rows stay; an empty
+    table gives an empty one; columns not in `keep` go, whatever their names. Tokens without a digit or without a letter are not judged by the models.
     """
     table = table or ratios(samples(docs.sparkSession))
     text = f"coalesce(`{text_col}`, '')"

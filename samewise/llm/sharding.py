@@ -44,7 +44,7 @@ def sharded(docs: DataFrame, weights: list[float], grown: list[float] | None = N
     """Rows (id_col, size, text_crc32, law, shard, slot, grown_shard); only the key and the weights decide.
 
     size: UTF-8 bytes of the text and 1 more (null text: as if empty). Repeated keys share a shard and get
-    slots of their own; other columns go. Texts stay in the scan: the shuffled rows are a few numbers.
+    slots of their own; an empty table gives an empty one; other columns go, whatever their names. Texts stay in the scan: the shuffled rows are a few numbers.
     """
     grown = grown or [*weights, weights[-1]]
     text = F.coalesce(F.col(text_col), F.lit(""))
