@@ -20,7 +20,10 @@ N_CHARS = "cast(length(text) AS bigint) AS n_chars"
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier predicts to be good; it learns from labels of rows that are not held out."""
+    """Documents that the classifier predicts to be good; it learns from labels of rows that are not held out.
+
+    Null and empty texts and rows without an id are scored like others. Columns that documents lack go, here and in all stages; repeated rows stay.
+    """
     model = quality_model.train(docs, table(spark, sf_dir, "labels"))
     return quality_model.scored(docs, model, keep=COLUMNS[1:]).where("predicted = 1").select(*COLUMNS)
 
@@ -41,19 +44,22 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the strings that a document with a smaller id has; documents of which nothing is left go."""
+    """Texts without the strings that a document with a smaller id has; documents of which nothing is left go.
+
+    Null texts come out empty; empty texts and rows without an id stay as they are.
+    """
     out = suffix_dedup.deduplicated(docs, keep=("lang", "source")).where("n_removed = 0 OR kept_text <> ''")
     return out.withColumnRenamed("kept_text", "text").selectExpr("doc_id", "text", "lang", "source", N_CHARS)
 
 
 def masked_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with a mark in place of each secret; all documents stay."""
+    """Texts with a mark in place of each secret; all documents stay, null and empty texts as they are."""
     out = secrets.scanned(docs, keep=("text", "lang", "source")).withColumn("text", secrets.redacted("text", "all"))
     return out.selectExpr("doc_id", "text", "lang", "source", N_CHARS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents, with their places in sequences of 2048 tokens."""
+    """Pieces of the documents, with their places in sequences of 2048 tokens. A null or empty text is its end id alone."""
     return packing.packed(docs, tokenizer("word_bpe_49k.json"))
 
 
