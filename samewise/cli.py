@@ -133,6 +133,8 @@ def train(w: Work, a) -> None:
     gamma, tau, both = decide.tune_hybrid(scored, some, links, decide.TAUS[::4])
     state = {"features": names, "knobs": asdict(knobs), "macro_f": score, "hybrid": {"gamma": gamma, "tau_empty": tau, "macro_f": both}}
     keep_state(w, state, "knobs")
+    if edge := decide.at_edge(knobs):
+        print("at the edge of its grid: " + ", ".join(edge))
     metrics.report(decide.threshold(scored, knobs), links, some).show(truncate=False, vertical=True)
     for name, gain in fitted.importance():
         print(f"{gain:.4f} {name}")

@@ -136,6 +136,12 @@ def tune(pairs: DataFrame, entities: DataFrame, links: DataFrame, taus: list[flo
     return chosen, best
 
 
+def at_edge(knobs: Knobs, taus: list[float] = TAUS, alphas: list[float] = ALPHAS) -> list[str]:
+    """Names of the knobs whose chosen value is the first or last of its grid, so that a better one may lie outside."""
+    ends = {"tau_empty": (min(taus), max(taus)), "tau_abs": (min(taus), max(taus)), "alpha": (min(alphas), max(alphas))}
+    return [k for k, own in ends.items() if getattr(knobs, k) in own]
+
+
 def tune_by(pairs: DataFrame, entities: DataFrame, links: DataFrame, by: str = "country_key", least: int = 200, **grid) -> tuple[dict[str, Knobs], Knobs]:
     """Knobs of each group with `least` entities or more, and those of all for the rest. Entities need the group column."""
     whole, _ = tune(pairs, entities, links, **grid)

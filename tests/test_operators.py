@@ -204,6 +204,7 @@ def test_containment_against_brute_force(spark):
 
 
 def test_floor_and_countries(spark):
+    assert decide.at_edge(decide.Knobs(0.1, 0.1, 0.9)) == ["tau_empty", "tau_abs", "alpha"] and decide.at_edge(decide.Knobs()) == []
     assert decide.probability_floor(decide.Knobs(0.6, 0.425)) == 0.2125 and decide.probability_floor(decide.Knobs(0.4), stacked=True) == pytest.approx(0.16)
     entities = spark.createDataFrame([("S1-1", "x"), ("S1-2", "x"), ("S1-3", "y")], "source1_entity_id string, country_key string")
     links = spark.createDataFrame([("S1-1", "S2-1"), ("S1-1", "S2-2"), ("S1-3", "S2-3")], "source1_entity_id string, cand_id string")
