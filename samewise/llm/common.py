@@ -134,16 +134,35 @@ def matches(text: str, pattern: str, at_once: int = 500, gaps: bool = False) ->
     return f"transform(array(named_struct('m', regexp_extract_all({text}, {p}, 0))), r -> CASE WHEN size(r.m) = 0 THEN {none} ELSE {placed} END)[0]"
 
 
-def components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
+def united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, component) of all links in the batches."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for batch in batches:
+        for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist()):
+            low, high = sorted((root(parent.setdefault(u, u)), root(parent.setdefault(v, v))))
+            parent[high] = low
+    yield pa.RecordBatch.from_arrays([pa.array(list(parent), pa.int64()), pa.array([root(x) for x in list(parent)], pa.int64())], ["node", "component"])
+
+
+def components(edges: DataFrame, most_rounds: int = 64, few: int = 1 << 17) -> DataFrame:
     """Connected components of the undirected links (a, b): rows (node, component), component the least node.
 
-    Alternates large-star and small-star steps, each of which replaces a link by one link to the
+    Up to `few` links, counted first, are a few megabytes and are joined in one task, which spares the
+    driver some dozens of jobs. Beyond that it alternates large-star and small-star steps, each of which replaces a link by one link to the
     least neighbour. The least neighbours are written out before they are joined, so that both sides of the
     join are dealt anew and Spark can split a node with a great many links.
     Nodes without a link do not appear. Every round is checkpointed, so a lost executor costs one round.
     """
     e = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e = checkpointed(e)
+    if e.count() <= few:
+        return checkpointed(e.selectExpr("cast(u AS long) AS u", "cast(v AS long) AS v").coalesce(1).mapInArrow(united, "node long, component long"))
     seen = None
     for _ in range(most_rounds):
         # large star: of each node, the larger neighbours move to its least neighbour or itself

@@ -124,3 +124,14 @@ def test_op5_against_brute_force(spark, most):
     assert sum(got[i]["component_id"] == comp[i] for i in comp) >= len(comp) - 2
     assert all(r["kept"] == (i == r["component_id"]) for i, r in got.items())
     assert vector_forest.near_vectors(df.where("1 = 0")).count() == 0
+
+
+def test_components_of_few_and_of_many_links(spark):
+    r = random.Random(41)
+    links = [(r.randint(-300, 300), r.randint(-300, 300)) for _ in range(330)] + [(1000 + i, 1001 + i) for i in range(40)] + [(5, 5), (None, 3)]
+    df = spark.createDataFrame(links, "a long, b long")
+    known = [(a, b) for a, b in links if a is not None and a != b]
+    want = least_reachable({x for pair in known for x in pair}, known)
+    for few in (0, 1 << 17):
+        assert {r["node"]: r["component"] for r in components(df, few=few).collect()} == want
+        assert components(df.where("1 = 0"), few=few).count() == 0
