@@ -21,9 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Memo, checkpointed, gathered, pieces, split_up
+from .common import Memo, checkpointed, gathered, give_back, pieces, split_up, tidied
 
-#: Bound of the memo of one Python worker, in entries.
+#: Bound of the memo of one task, in entries.
 MOST_WORDS = 600_000
 
 
@@ -161,21 +161,27 @@ def cut(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col: str
     """Rows (doc_id, start, length, ids_crc32, doc_tokens, salt) of the pieces of each document and its end id, cut at multiples of capacity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         encode, end = word_ids(tokenizer), np.array([end_id], "<u4").tobytes()
-        for batch in pieces(batches, "text", 8 << 20):
-            take, out = [], []
-            every, ends = encode.batch(batch.column("text").to_pylist())
-            for row, (begin, until) in enumerate(zip(np.append(0, ends), ends)):
-                ids = every[begin:until].tobytes() + end
-                n = len(ids) // 4
-                for a in range(0, n, capacity):
-                    take.append(row)
-                    out.append((a, min(capacity, n - a), zlib.crc32(ids[4 * a : 4 * (a + capacity)]), n))
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(take, pa.int64())), *[pa.array(x, pa.int64()) for x in zip(*out)]], ["id", "start", "length", "ids_crc32", "doc_tokens"])
+        try:
+            for batch in pieces(batches, "text"):
+                take, out = [], []
+                every, ends = encode.batch(batch.column("text").to_pylist())
+                for row, (begin, until) in enumerate(zip(np.append(0, ends), ends)):
+                    ids = every[begin:until].tobytes() + end
+                    n = len(ids) // 4
+                    for a in range(0, n, capacity):
+                        take.append(row)
+                        out.append((a, min(capacity, n - a), zlib.crc32(ids[4 * a : 4 * (a + capacity)]), n))
+                del every, ids
+                give_back()
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(take, pa.int64())), *[pa.array(x, pa.int64()) for x in zip(*out)]], ["id", "start", "length", "ids_crc32", "doc_tokens"])
+        finally:
+            encode.memo.clear()  # Spark keeps more workers than it has tasks, and deals tasks to them in turn
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(tidied(run), f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long").withColumnRenamed("id", id_col)
 
 
 def packed(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", salts: int = 256) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces
+from .common import pieces, tidied
 
 BITS, MOST_LABELLED, MOST_BYTES, EPOCHS, COST = 18, 8_000, 64 << 20, 20, 1.0
 SHAPES = np.arange(256, dtype=np.uint8)
@@ -161,7 +161,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", most_l
 
     text = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
     found = text.join(F.broadcast(chosen), F.expr("doc = i")).select("i", "label", "text")  # most_labelled rows at most
-    found = found.mapInArrow(run, f"i {labels.schema[id_col].dataType.simpleString()}, label int, at binary, digest long")
+    found = found.mapInArrow(tidied(run), f"i {labels.schema[id_col].dataType.simpleString()}, label int, at binary, digest long")
     found = found.groupBy("i", "label").agg(F.min_by("at", F.struct("digest", "at")).alias("at"))  # of rows with one id, one
     rows, label, total = [], [], 0
     for r in found.orderBy(F.xxhash64("i"), "i", "label").toLocalIterator():
@@ -189,4 +189,4 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in (id_col, *keep)], pa.array(found, pa.float64())], [id_col, *keep, "score"])
 
     rows = docs.select(id_col, *keep, *([F.col(text_col).alias("_text")] if source == "_text" else []))
-    return rows.mapInArrow(run, f"{kinds}, score double").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return rows.mapInArrow(tidied(run), f"{kinds}, score double").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

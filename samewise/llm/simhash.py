@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, components, pieces, small
+from .common import checkpointed, components, pieces, small, tidied
 
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 SEED, SHINGLE, RADIUS = 42, 3, 3
@@ -287,7 +287,7 @@ def prefixes(docs: DataFrame, hot: list[tuple[int, int]]) -> DataFrame:
             columns = [np.repeat(np.array(x, np.uint64).view(np.int64), size) for x in zip(*found)] or [np.zeros(0, np.int64)] * 3
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), *map(pa.array, columns)], ["key", "c", "fp", "n"])
 
-    return docs.select("text").mapInArrow(run, "key long, c long, fp long, n long")
+    return docs.select("text").mapInArrow(tidied(run), "key long, c long, fp long, n long")
 
 
 def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -432,11 +432,11 @@ def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     them, are copies of each other. A null id links nothing and has no component. Repeated rows stay; other columns go.
     """
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text"))
-    rows = checkpointed(own.mapInArrow(classed, "doc_id long, t long, c long, n long, f0 long, f1 long, f2 long, slot long"))
+    rows = checkpointed(own.mapInArrow(tidied(classed), "doc_id long, t long, c long, n long, f0 long, f1 long, f2 long, slot long"))
     hot = rows.where("slot IS NOT NULL").groupBy("slot").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "slot").limit(MOST_HOT).collect()
     rows, known = rows.where("slot IS NULL"), own.where("doc_id IS NOT NULL")
     keys = prefixes(known, [(r["slot"], r["n"]) for r in hot])
-    lists = checkpointed(keys.repartition("key").sortWithinPartitions("key", "c").mapInArrow(met, f"key long, part int, m {MEMBERS}").select("key", "part", F.xxhash64("m").alias("own"), "m"))
+    lists = checkpointed(keys.repartition("key").sortWithinPartitions("key", "c").mapInArrow(tidied(met), f"key long, part int, m {MEMBERS}").select("key", "part", F.xxhash64("m").alias("own"), "m"))
     parts = lists.where("key IS NOT NULL").select("key", "part", "own")
     lists = checkpointed(lists.groupBy("own").agg(F.min("m").alias("m")))
     least = F.min(F.struct("doc_id", "t", "n", "f0", "f1", "f2")).alias("r")
@@ -449,7 +449,7 @@ def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     two = parts.alias("x").join(parts.alias("y"), F.expr("x.key = y.key AND x.part < y.part")).select(F.least("x.own", "y.own").alias("p"), F.greatest("x.own", "y.own").alias("q")).distinct()
     x, y = (member.select(F.col("own").alias(i), F.col("m").alias(f"m{i}")) for i in "pq")
     crossed = two.join(x, "p").join(y, "q").select(F.concat("mp", "mq").alias("m"))
-    groups = components(member.select("m").union(crossed).mapInArrow(candidates, "a long, b long"))
+    groups = components(member.select("m").union(crossed).mapInArrow(tidied(candidates), "a long, b long"))
     joined = components(verified(checkpointed(groups), known, first))
     named = checkpointed(rows.join(joined, F.expr("c = node"), "left").selectExpr("doc_id", "t", "coalesce(component, c) AS k"))
     least = named.where("doc_id IS NOT NULL").groupBy("k").agg(F.min("doc_id").alias("component_id")).withColumnRenamed("k", "g")

@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, pieces
+from .common import checkpointed, pieces, released, tidied
 
 WIDTH, GRAM = 50, 20
 #: Windows of a run at most, and documents with a minimizer from which it counts as frequent.
@@ -149,7 +149,7 @@ def seeds(docs: DataFrame, groups: int, buckets: int, bits: int) -> DataFrame:
         if held:
             yield from flush(keys, owners)
 
-    return docs.select("doc_id", "group", "text").mapInArrow(run, "bucket int, data binary")
+    return docs.select("doc_id", "group", "text").mapInArrow(tidied(run), "bucket int, data binary")
 
 
 def bucket_of(key: np.ndarray, buckets: int, bits: int) -> np.ndarray:
@@ -176,7 +176,7 @@ def shared(found: DataFrame, frequent: int) -> DataFrame:
         out = [pack(np.diff(key[a:b], prepend=U64(0)), often[a:b]) for a, b in zip(edges, np.append(edges[1:], len(key)))]
         return pd.DataFrame({"group": owner[edges].astype(np.int64), "kind": "keys", "data": out})
 
-    return found.groupBy("bucket").applyInPandas(meet, "group long, kind string, data binary")
+    return found.groupBy("bucket").applyInPandas(lambda rows: released(meet(rows)), "group long, kind string, data binary")
 
 
 class Group:
@@ -425,7 +425,7 @@ def answers(questions: DataFrame) -> DataFrame:
                 out.append(pack(np.array(who, "<u4"), np.array(count, "<u4"), np.array(values, np.int64).view("<u8")))
         return pd.DataFrame({"group": pd.array(of, "int64"), "kind": "answers", "data": out})
 
-    return questions.groupBy("bucket").applyInPandas(meet, "group long, kind string, data binary")
+    return questions.groupBy("bucket").applyInPandas(lambda rows: released(meet(rows)), "group long, kind string, data binary")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), frequent: int = FREQUENT, group_bytes: int = GROUP, bucket_bytes: int = BUCKET) -> DataFrame:
@@ -461,14 +461,15 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     notes = notes.unionByName(copies.mapInArrow(listed, "group long, kind string, data binary"))
 
     def ask(key: tuple, own: pa.Table, said: pa.Table) -> pa.Table:
-        return Group(own, said, bits).questions(key[0].as_py(), buckets)
+        return released(Group(own, said, bits).questions(key[0].as_py(), buckets))
 
     def cut(key: tuple, own: pa.Table, said: pa.Table) -> pa.Table:
         group = Group(own, said, bits)
         out = group.cut()
         for c in keep:
             out = out.append_column(f"_{c}", own.column(f"_{c}").take(pa.array(group.order, pa.int64())))
-        return out
+        del group
+        return released(out)
 
     asked = texts.groupBy("group").cogroup(notes.groupBy("group")).applyInArrow(ask, "bucket long, group long, data binary")
     told = notes.unionByName(answers(asked))
